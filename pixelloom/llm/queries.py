@@ -14,12 +14,24 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import default_model, encoding_digests
+
+    return encoding_digests(table(spark, sf_dir, "documents"), default_model())
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge_urls
 
@@ -32,7 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("rid")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_mixing, op9_url_filter, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_sentencepiece, op5_mixing, op8_simhash, op9_url_filter, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op2_quality_rules": sql.QUALITY,
