@@ -26,6 +26,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -44,7 +50,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("rid")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_sentencepiece, op5_mixing, op8_simhash, op9_url_filter, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_sentencepiece, op5_mixing, op7_substring_dedup, op8_simhash, op9_url_filter, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op2_quality_rules": sql.QUALITY,
