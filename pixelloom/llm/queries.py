@@ -14,6 +14,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import default_model, encoding_digests
 
@@ -26,6 +33,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_digests, train
+
+    return secret_digests(table(spark, sf_dir, "documents"), train())
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .passages import remove_repeats
 
@@ -50,7 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("rid")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_sentencepiece, op5_mixing, op7_substring_dedup, op8_simhash, op9_url_filter, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_language_id, op4_sentencepiece, op5_mixing, op6_secret_scan, op7_substring_dedup, op8_simhash, op9_url_filter, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op2_quality_rules": sql.QUALITY,
