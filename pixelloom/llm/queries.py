@@ -8,6 +8,12 @@ from . import sql
 from .common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_text import extract, train
+
+    return extract(table(spark, sf_dir, "pages"), train())
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_report
 
@@ -63,7 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("rid")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_language_id, op4_sentencepiece, op5_mixing, op6_secret_scan, op7_substring_dedup, op8_simhash, op9_url_filter, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_language_id, op4_sentencepiece, op5_mixing, op6_secret_scan, op7_substring_dedup, op8_simhash, op9_url_filter, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op2_quality_rules": sql.QUALITY,
