@@ -243,25 +243,28 @@ def encode_documents(docs: DataFrame, proto: bytes, id_col: str = "doc_id", text
     return source.mapInArrow(run, f"doc_id {kind}, ids array<int>, starts array<int>, ends array<int>, decoded string")
 
 
-def encoding_digests(docs: DataFrame, proto: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, span_bytes (source bytes that the spans cover).
+def encoding_digests(docs: DataFrame, proto: bytes, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, span_bytes (source bytes that the spans cover), and ids if asked for.
 
     The same encoding as ``encode_documents``, reduced to digests where it is made.
     """
     shared = docs.sparkSession.sparkContext.broadcast(proto)
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "span_bytes": pa.int64()} | ({"ids": pa.list_(pa.int32())} if with_ids else {})
 
     def digest(model: PieceModel, text: str | None) -> tuple:
         ids, starts, ends = model.encode(text or "")
         packed = array("I", ids).tobytes()
-        return len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest(), int((ends - starts).sum())
+        row = len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest(), int((ends - starts).sum())
+        return (*row, np.frombuffer(packed, np.int32)) if with_ids else row
 
     def run(batches):
         model = load(shared.value)
         for batch in batches:
-            rows = [digest(model, t.as_py()) for t in batch.column(1)]
-            cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rows = [digest(model, t.as_py()) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds.values()))], ["doc_id", *kinds])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long")
+    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long"
+    return source.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
