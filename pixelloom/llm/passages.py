@@ -20,6 +20,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,30 +33,32 @@ KEY_BITS, START_BITS = 33, 30
 #: The filter of values that need a second look: 8 MB; used up to this many values, beyond it they are joined.
 FILTER_BITS, FILTER_VALUES = 26, 4_000_000
 MAX_RUNS = 4
-CACHED_WORDS, CACHED_LENGTH = 200_000, 32
+#: Documents are worked on together up to this many bytes.
+CHUNK_BYTES = 1 << 17
 
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_FACTOR = 0x9E3779B97F4A7C15
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTES = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, kept a worker long."""
+class _Powers:
+    """Powers of the odd factor and of its inverse modulo 2**64, as many as were asked for."""
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+    def __init__(self) -> None:
+        self.up, self.down = self._grow(1 << 10)
 
-        h = xxh64_intdigest(word, 7)
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = h
-        return h
+    @staticmethod
+    def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
+        bases = _FACTOR, pow(_FACTOR, -1, 1 << 64)
+        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(f))]), dtype=np.uint64) for f in bases)
 
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) <= n:
+            self.up, self.down = self._grow(2 * n)
+        return self.up, self.down
 
-_hashes = _Hashes()
 
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+_powers = _Powers()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -64,71 +67,136 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of ``values[start:end]`` of each span: a polynomial, by differences of one running sum."""
+    up, down = _powers.to(len(values))
+    upto = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=upto[1:])
+    return _mix((upto[end] - upto[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start byte and 64-bit hash of each word; ``blob`` ends in white space. Long blobs are cut at white space."""
+    raw = np.frombuffer(blob, np.uint8)
+    space = _SPACES[raw]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(raw) and not space[0]:
+        edges = np.concatenate([[0], edges])
+    start, end = edges[0::2], edges[1::2]
+    if len(raw) <= 2 * CHUNK_BYTES:
+        return start, _spans_hash(_BYTES[raw], start, end)
+    out, at = [], 0
+    while at < len(start):  # as many words as a chunk holds, one at least
+        to = max(at + 1, int(np.searchsorted(end, start[at] + CHUNK_BYTES, "right")))
+        low = start[at]
+        out.append(_spans_hash(_BYTES[raw[low : end[to - 1]]], start[at:to] - low, end[at:to] - low))
+        at = to
+    return start, np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def gram_hashes(w: np.ndarray, n: int) -> np.ndarray:
     """Hash of each ``n`` consecutive words."""
-    h = w[: len(w) - n + 1].copy()
+    h = w[: max(0, len(w) - n + 1)].copy()
     for j in range(1, n):
-        h *= _FACTOR
+        h *= np.uint64(_FACTOR)
         h += w[j : len(w) - n + 1 + j]
     return _mix(h)
 
 
-class Blocks:
-    """The blocks of one text: ``m`` of each, first window ``start`` and ``stop`` (exclusive), and whether it may repeat itself."""
-
-    def __init__(self, w: np.ndarray) -> None:
-        g = gram_hashes(w, GRAM)
-        low, n = g, 1
-        while n * 2 <= SPAN:
-            low, n = np.minimum(low[:-n], low[n:]), n * 2
-        if n < SPAN:
-            low = np.minimum(low[: len(g) - SPAN + 1], low[SPAN - n :][: len(g) - SPAN + 1])
-        self.start = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
-        self.stop = np.concatenate([self.start[1:], [len(low)]])
+class Chunk:
+    """Words of some documents in one row, and the blocks of their windows.
+
+    ``first``: place of each document's first word (one more at the end). A block has its value ``m``, its first
+    window ``start`` and ``stop`` (exclusive) as places, its document ``doc``, and ``own``: it may repeat itself.
+    """
+
+    def __init__(self, docs: list[bytes]) -> None:
+        blob = b" ".join(docs) + b" "
+        begins = np.cumsum([0] + [len(d) + 1 for d in docs])
+        at, self.w = word_hashes(blob)
+        self.first = np.searchsorted(at, begins)
+        n = np.diff(self.first)
+        g = gram_hashes(self.w, GRAM)
+        low, k = g, 1
+        while k * 2 <= SPAN:
+            low, k = np.minimum(low[:-k], low[k:]), k * 2
+        if k < SPAN and len(low):
+            low = np.minimum(low[: k - SPAN], low[SPAN - k :])
+        self.windows = len(low)
+        valid = np.ones(self.windows, bool)
+        for lo, hi in zip(np.maximum(self.first[1:] - WINDOW + 1, self.first[:-1]).tolist(), self.first[1:].tolist()):
+            valid[lo:hi] = False
+        opens = valid.copy()
+        opens[1:] &= (low[1:] != low[:-1]) | ~valid[:-1]
+        begun = self.first[:-1][n >= WINDOW]
+        opens[begun] = True
+        self.start = np.flatnonzero(opens)
+        closes = np.flatnonzero(valid & np.concatenate([opens[1:] | ~valid[1:], [True]])) if self.windows else np.zeros(0, np.int64)
+        self.stop = closes + 1
         self.m = low[self.start]
-        seen = np.zeros(len(low), np.uint8)
+        self.doc = np.searchsorted(self.first, self.start, "right") - 1
+        while len(self.doc) and (empty := n[self.doc] == 0).any():  # documents without words share a place with the next
+            self.doc = self.doc - empty
+        seen = np.zeros(self.windows, np.uint8)
         for d in range(SPAN):
-            seen += g[d : d + len(low)] == low
-        self.own = (np.maximum.reduceat(seen, self.start) > 1) | (self.stop - self.start > SPAN)
+            seen += g[d : d + self.windows] == low
+        seen[~valid] = 0
+        most = np.maximum.reduceat(seen, self.start) if len(self.start) else np.zeros(0, np.uint8)
+        self.own = (most > 1) | (self.stop - self.start > SPAN)
 
-    def hashes(self, w: np.ndarray) -> np.ndarray:
-        """Hash of all words of each block, its length included."""
-        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(w), _FACTOR)]), dtype=np.uint64)
-        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(w ^ np.uint64(0xA5A5A5A5)) * power[: len(w)], dtype=np.uint64)])
-        end = self.stop + WINDOW - 1
-        # the sum of h[i] * F**i over the block, moved to a common exponent by the odd factor's inverse
-        inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(w), np.uint64(pow(int(_FACTOR), -1, 1 << 64)))]), dtype=np.uint64)
-        return _mix((upto[end] - upto[self.start]) * inverse[self.start] + (end - self.start).astype(np.uint64))
+    def hashes(self) -> np.ndarray:
+        """Hash of all words of each block."""
+        return _spans_hash(_mix(self.w ^ np.uint64(0xA5A5A5A5)), self.start, self.stop + WINDOW - 1)
 
+    def places(self, lists: list) -> np.ndarray:
+        """Windows named by each document's list of starts."""
+        own = [np.asarray(x, np.int64) + f for x, f in zip(lists, self.first.tolist()) if x]
+        return np.concatenate(own) if own else np.zeros(0, np.int64)
+
+    def look(self, listed: list, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """First blocks, and those of them whose windows are told apart one by one.
+
+        ``listed`` are starts of first blocks, ``-1 - start`` where the block is marked for the second.
+        """
+        mark = np.zeros(self.windows + 1, np.uint8)
+        mark[self.places([[x if x >= 0 else -1 - x for x in own] if own else None for own in listed])] = 1
+        mark[self.places([[-1 - x for x in own if x < 0] if own else None for own in listed])] = 2
+        mark = mark[self.start]
+        return mark > 0, (mark > 0) & ((mark == 2) | self.own | _in_filter(bits, self.m))
+
+    def spread(self, blocks: np.ndarray) -> np.ndarray:
+        """Whether each window is in one of ``blocks``."""
+        out = np.zeros(self.windows, bool)
+        ends = np.zeros(self.windows + 1, np.int64)
+        ends[self.start[blocks]] += 1
+        ends[self.stop[blocks]] -= 1
+        out[np.cumsum(ends[:-1]) > 0] = True
+        return out
 
-def _longs(a: np.ndarray) -> pa.Array:
-    return pa.array(a.astype(np.uint64, copy=False).view(np.int64))
 
+def _chunks(batch: pa.RecordBatch, at: int):
+    """Row ranges of at most ``CHUNK_BYTES`` of text (one row at least), with the texts as bytes."""
+    column = batch.column(at).cast(pa.binary()).fill_null(b"")
+    low = size = 0
+    for i, n in enumerate(pc.binary_length(column).to_pylist()):
+        if size and size + n > CHUNK_BYTES:
+            yield slice(low, i), column[low:i].to_pylist()
+            low, size = i, 0
+        size += n + 1
+    if low < len(column):
+        yield slice(low, len(column)), column[low:].to_pylist()
 
-def _batched(names: list[str], parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([_longs(np.concatenate(p)) if p else pa.array([], pa.int64()) for p in parts], names)
+
+def _longs(a: np.ndarray) -> pa.Array:
+    return pa.array(a.astype(np.int64, copy=False) if a.dtype != np.uint64 else a.view(np.int64))
 
 
 def _emit_blocks(batches):
     for batch in batches:
-        parts: list[list[np.ndarray]] = [[], [], [], []]
-        for key, text in zip(batch.column(0), batch.column(1)):
-            words = (text.as_py() or "").encode().split()
-            if len(words) >= WINDOW:
-                w = word_hashes(words)
-                b = Blocks(w)
-                for p, x in zip(parts, (b.m, b.hashes(w), np.full(len(b.m), key.as_py(), np.int64).view(np.uint64), b.start)):
-                    p.append(x)
-        yield _batched(["m", "b", "key", "start"], parts)
-
-
-def _firsts(b: Blocks, listed: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Which blocks are first places, and which of those are marked (listed as ``-1 - start``)."""
-    if not listed:
-        none = np.zeros(len(b.m), bool)
-        return none, none
-    x = np.asarray(listed, np.int64)
-    return np.isin(b.start, np.where(x < 0, -1 - x, x)), np.isin(b.start, -1 - x[x < 0])
+        keys = batch.column(0).to_numpy()
+        for rows, texts in _chunks(batch, 1):
+            c = Chunk(texts)
+            yield pa.RecordBatch.from_arrays([_longs(x) for x in (c.m, c.hashes(), keys[rows][c.doc], c.start - c.first[c.doc])], ["m", "b", "key", "start"])
 
 
 def _in_filter(bits: np.ndarray | None, m: np.ndarray) -> np.ndarray:
@@ -141,60 +209,48 @@ def _in_filter(bits: np.ndarray | None, m: np.ndarray) -> np.ndarray:
     return hit
 
 
-def _look(b: Blocks, listed, bits) -> tuple[np.ndarray, np.ndarray]:
-    """First blocks, and those of them whose windows are told apart one by one."""
-    first, marked = _firsts(b, listed)
-    return first, first & (marked | b.own | _in_filter(bits, b.m))
-
-
 def _emit_windows(bits):
     def run(batches):
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], []]
-            for key, text, listed in zip(batch.column(0), batch.column(1), batch.column(2)):
-                words = (text.as_py() or "").encode().split()
-                if len(words) < WINDOW:
-                    continue
-                w = word_hashes(words)
-                b = Blocks(w)
-                _, look = _look(b, listed.as_py(), bits.value if bits else None)
-                if look.any():
-                    each = np.repeat(look, b.stop - b.start)
-                    at = np.flatnonzero(each)
-                    for p, x in zip(parts, (gram_hashes(w, WINDOW)[at], np.repeat(b.m, b.stop - b.start)[at], np.full(len(at), key.as_py(), np.int64).view(np.uint64), at)):
-                        p.append(x)
-            yield _batched(["h", "m", "key", "start"], parts)
+            keys = batch.column(0).to_numpy()
+            for rows, texts in _chunks(batch, 1):
+                c = Chunk(texts)
+                _, look = c.look(batch.column(2)[rows.start : rows.stop].to_pylist(), bits.value if bits else None)
+                at = np.flatnonzero(c.spread(look))
+                of = np.searchsorted(c.start, at, "right") - 1
+                doc = c.doc[of]
+                yield pa.RecordBatch.from_arrays([_longs(x) for x in (gram_hashes(c.w, WINDOW)[at], c.m[of], keys[rows][doc], at - c.first[doc])], ["h", "m", "key", "start"])
 
     return run
 
 
-def _keep(text: str | None, listed, kept, bits) -> tuple[int, list[bytes], np.ndarray]:
-    """Words of a text and which of them stay."""
-    words = (text or "").encode().split()
-    stay = np.ones(len(words), bool)
-    if len(words) >= WINDOW:
-        b = Blocks(word_hashes(words))
-        first, look = _look(b, listed, bits)
-        good = np.repeat(first & ~look, b.stop - b.start)
-        if kept:
-            good[np.asarray(kept, np.int64)] = True
-        bad = np.concatenate([[0], np.cumsum(~good)])
-        i = np.arange(len(words))
-        stay = bad[np.minimum(i + 1, len(good))] == bad[np.maximum(i - WINDOW + 1, 0)]
-    return len(words), words, stay
+def _stay(c: Chunk, listed: list, kept: list, bits: np.ndarray | None) -> np.ndarray:
+    """Whether each word of the chunk stays."""
+    first, look = c.look(listed, bits)
+    bad = c.spread(~(first & ~look))
+    bad[c.places(kept)] = False
+    upto = np.concatenate([[0], np.cumsum(bad)])
+    i = np.arange(len(c.w))
+    return upto[np.minimum(i + 1, c.windows)] == upto[np.minimum(np.maximum(i - WINDOW + 1, 0), c.windows)]
 
 
 def _emit_result(bits, with_text: bool):
-    def one(row) -> tuple:
-        n, words, stay = _keep(*row, bits.value if bits else None)
-        kept = b" ".join([x for x, s in zip(words, stay.tolist()) if s] if not stay.all() else words)
-        return n, n - int(stay.sum()), kept.decode() if with_text else hashlib.sha256(kept).hexdigest()
-
     def run(batches):
         for batch in batches:
-            rows = [one([c.as_py() for c in row]) for row in zip(*(batch.column(k) for k in (2, 3, 4)))]
-            cols = list(zip(*rows)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["key", "doc_id", "n_words", "n_removed", "kept"])
+            n_words, n_removed, out = [], [], []
+            for rows, texts in _chunks(batch, 2):
+                c = Chunk(texts)
+                stay = _stay(c, *(batch.column(k)[rows.start : rows.stop].to_pylist() for k in (3, 4)), bits.value if bits else None)
+                for text, low, high in zip(texts, c.first.tolist(), c.first[1:].tolist()):
+                    words, own = text.split(), stay[low:high]
+                    gone = len(own) - int(np.count_nonzero(own))
+                    if gone:
+                        words = [words[i] for i in np.flatnonzero(own).tolist()]
+                    kept = b" ".join(words)
+                    n_words.append(high - low)
+                    n_removed.append(gone)
+                    out.append(kept.decode() if with_text else hashlib.sha256(kept).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], ["key", "doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
@@ -294,9 +350,9 @@ def _filter_of(values: DataFrame) -> np.ndarray:
     mask = F.lit((1 << FILTER_BITS) - 1)
     at = values.select(F.explode(F.array(*[F.shiftrightunsigned("m", s).bitwiseAND(mask) for s in (0, 19, 38)])).alias("at"))
     bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from pixelloom.llm import passages
-from pixelloom.llm.passages import WINDOW, Blocks, PassageIndex, remove_repeats, word_hashes
+from pixelloom.llm.passages import WINDOW, Chunk, PassageIndex, remove_repeats, word_hashes
 
 
 def plain(rows):
@@ -49,12 +49,22 @@ def texts(seed, n):
 
 
 def test_blocks_cover_every_window():
-    w = word_hashes([b"%d" % (i * i) for i in range(300)])
-    b = Blocks(w)
-    assert b.start[0] == 0 and b.stop[-1] == 300 - WINDOW + 1 and (b.start[1:] == b.stop[:-1]).all()
-    h = b.hashes(w)
-    again = Blocks(w[37:]).hashes(w[37:])
-    assert len(set(again.tolist()) & set(h.tolist())) >= len(again) - 1
+    docs = [b"", b"a b", b" ".join(b"%d" % (i * i) for i in range(300)), b" ", b"\n".join(b"%d" % (i * i) for i in range(50, 300)), b"x " * 20, b""]
+    c = Chunk(docs)
+    assert c.first.tolist() == [0, 0, 2, 302, 302, 552, 572, 572]
+    covered = sorted(i for a, b in zip(c.start.tolist(), c.stop.tolist()) for i in range(a, b))
+    assert covered == [*range(2, 302 - WINDOW + 1), *range(302, 552 - WINDOW + 1), 552]
+    assert set(c.doc.tolist()) == {2, 4, 5}
+    h, one, two = c.hashes(), c.doc == 2, c.doc == 4
+    assert len(set(h[two].tolist()) & set(h[one].tolist())) >= two.sum() - 1
+
+
+def test_long_texts_are_hashed_in_slices(monkeypatch):
+    blob = b" ".join(b"w%d" % (i % 97) for i in range(5000)) + b"\x0b" + b"y" * 3000 + b" "
+    start, want = word_hashes(blob)
+    monkeypatch.setattr(passages, "CHUNK_BYTES", 1000)
+    again, got = word_hashes(blob)
+    assert (start == again).all() and (want == got).all() and len(np.unique(want)) == 98
 
 
 @pytest.mark.parametrize("values", [passages.FILTER_VALUES, 0])
