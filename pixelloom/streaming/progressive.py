@@ -1,7 +1,7 @@
 """The push reader on Structured Streaming: byte slices of many images in, rows of finished images out.
 
 State per image is the slices that have arrived, bounded by the file size; an image is decoded once its end chunk is
-there. Slices may arrive out of order. Abandoned images are dropped after a processing-time timeout.
+there. Slices may arrive out of order. With a timeout, abandoned images are dropped after that much processing time.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def _finished(parts: dict[int, bytes]) -> bytes | None:
     return whole if whole.endswith(END) or len(whole) >= 8 and whole[:8] != codec.MAGIC else None
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int) -> Iterator[pd.DataFrame]:
+def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int | None) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         yield pd.DataFrame([{"image_id": key[0], "y": None, "samples": None, "message": "abandoned"}])
@@ -38,7 +38,8 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, time
     whole = _finished(parts)
     if whole is None:
         state.update((list(parts), list(parts.values())))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         return
     if state.exists:
         state.remove()
@@ -49,6 +50,10 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, time
         yield pd.DataFrame([{"image_id": key[0], "y": None, "samples": None, "message": image.diagnostics[-1][2]}])
 
 
-def progressive_rows(slices: DataFrame, timeout_ms: int = 600_000) -> DataFrame:
-    """``OUT`` rows of a stream (image_id long, seq int, bytes binary)."""
-    return slices.groupBy("image_id").applyInPandasWithState(lambda k, f, s: _advance(k, f, s, timeout_ms), OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def progressive_rows(slices: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+    """``OUT`` rows of a stream (image_id long, seq int, bytes binary).
+
+    A timeout keeps a query with ``availableNow`` going, since time never stops; leave it out there.
+    """
+    kind = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return slices.groupBy("image_id").applyInPandasWithState(lambda k, f, s: _advance(k, f, s, timeout_ms), OUT, STATE, "append", kind)
