@@ -252,8 +252,9 @@ def decode(content: bytes | None, pixels: bool = True, quiet_crc: bool = False)
         elif c.name == "IEND":
             seen_end = True
         elif c.name != "IDAT":
+            known = len(image.diagnostics)
             _parse_optional(c, image)
-            if image.fatal:
+            if any(d[0] == "error" for d in image.diagnostics[known:]):
                 break
     if not image.fatal and not any(c.name == "IDAT" for c in image.chunks):
         image.note("error", "missing IDAT")
