@@ -39,7 +39,7 @@ def table_8(exponent: int) -> list[int]:
 
 def curve_8(exponent: int) -> Callable[[Column], Column]:
     """A look-up in a constant array, which stays inside generated code."""
-    table = F.array(*[F.lit(x).cast("long") for x in table_8(exponent)])
+    table = F.expr(f"array({', '.join(f'{x}L' for x in table_8(exponent))})")
     return lambda v: F.get(table, v.cast("int"))
 
 
