@@ -13,6 +13,7 @@ from .functions import gamma as gm
 from .functions import kernels as k
 from .functions import metadata as md
 from .operators import geometry, palettes, prediction
+from .plans import formats
 from .plans.planner import Settings, Shape, plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -529,6 +530,57 @@ def _xyz(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("chromaticity_xyz", _xyz, "SELECT p_partkey, CAST(floor((0.3127::DOUBLE + p_size / 10000.0::DOUBLE) / 0.329::DOUBLE * 1e6 + 0.5) AS BIGINT) AS sum_x, 1000000::BIGINT AS sum_y, CAST(floor((0.3127::DOUBLE + p_size / 10000.0::DOUBLE) * 1e6 + 0.5) AS BIGINT) AS wx, 329000::BIGINT AS wy, 640000::BIGINT AS rx, 330000::BIGINT AS ry, 300000::BIGINT AS gx, 60000::BIGINT AS by FROM part")
 
 
+# --- formats and colour maps ----------------------------------------------------------------------------------------
+
+
+def _converted(name: str, want: str, shape: Shape, cols: list[str], sql: list[str], **options) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = formats.conversion(shape, False, want, **options).apply(fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", *cols))
+        return out.select(*[F.col(c).cast("long").alias(c) for c in out.columns])
+
+    _register(name, run, f"{PX} SELECT image_id, y, x, {', '.join(f'CAST({e} AS BIGINT) AS c{i}' for i, e in enumerate(sql))} FROM px")
+
+
+_converted("format_bgra", "bgra", RGB8, ["r", "g", "b"], ["b", "g", "r", "255"])
+_converted("format_argb_16", "argb", Shape(8, 16, 6, 4), ["r16", "g16", "b16", "a16"], [f"({c} + 128) // 257" for c in ("a16", *RGB16)])
+_converted("format_gray", "gray", RGB8, ["r", "g", "b"], [_gray("r", "g", "b", 0)])
+_converted("format_rgb_on_background", "rgb", RGBA8, ["r", "g", "b", "a"], [_blend8(c, "a", str(b)) for c, b in zip(RGB, (10, 20, 30))], background=(10, 20, 30))
+_converted("format_linear_rgb", "linear_rgb", RGB8, ["r", "g", "b"], [f"({_lut8(c, 219_998)}) * 257" for c in RGB])
+_register("describe", lambda spark, d: formats.describe(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("image_id"), F.get(F.array(*map(F.lit, (1, 2, 4, 8, 16))), (F.col("p_partkey") % 5).cast("int")).alias("bit_depth"), F.get(F.array(*map(F.lit, (0, 2, 3, 4, 6))), (F.col("p_partkey") % 7 % 5).cast("int")).alias("color_type"), (F.col("p_partkey") % 3 == 0).alias("transparent"), (F.col("p_partkey") % 300).alias("n_palette"))),
+          "WITH h AS (SELECT p_partkey AS image_id, [1, 2, 4, 8, 16][p_partkey % 5 + 1] AS depth, [0, 2, 3, 4, 6][p_partkey % 7 % 5 + 1] AS kind, p_partkey % 3 = 0 AS t, p_partkey % 300 AS n FROM part) SELECT image_id, kind IN (2, 3, 6) AS color, kind IN (4, 6) OR t AS alpha, depth = 16 AS linear, kind = 3 AS colormap, CAST(CASE WHEN kind = 3 THEN least(n, 256) WHEN kind = 0 AND depth <= 8 THEN CAST(pow(2, depth) AS BIGINT) ELSE 256 END AS BIGINT) AS entries FROM h")
+_register("color_cube_entries", lambda spark, d: formats.cube_entries(spark), "SELECT i AS idx, i // 36 * 51 AS r, i // 6 % 6 * 51 AS g, i % 6 * 51 AS b FROM range(216) AS t(i)")
+_register("gray_alpha_entries", lambda spark, d: formats.gray_alpha_entries(spark), "SELECT i AS idx, CASE WHEN i < 231 THEN (i * 256 + 115) // 231 WHEN i = 231 THEN 255 ELSE (i - 232) % 6 * 51 END AS gray, CASE WHEN i < 231 THEN 255 WHEN i = 231 THEN 0 ELSE ((i - 232) // 6 + 1) * 51 END AS alpha FROM range(256) AS t(i)")
+_register("rgba_entries", lambda spark, d: formats.rgba_entries(spark), "WITH t AS (SELECT i, i - 217 AS j, [0, 127, 255] AS l FROM range(244) AS t(i)) SELECT i AS idx, CASE WHEN i < 216 THEN i // 36 * 51 WHEN i = 216 THEN 255 ELSE CAST(l[CAST(j // 9 AS BIGINT) + 1] AS BIGINT) END AS r, CASE WHEN i < 216 THEN i // 6 % 6 * 51 WHEN i = 216 THEN 255 ELSE CAST(l[CAST(j // 3 % 3 AS BIGINT) + 1] AS BIGINT) END AS g, CASE WHEN i < 216 THEN i % 6 * 51 WHEN i = 216 THEN 255 ELSE CAST(l[CAST(j % 3 AS BIGINT) + 1] AS BIGINT) END AS b, CASE WHEN i < 216 THEN 255 WHEN i = 216 THEN 0 ELSE 128 END AS a FROM t")
+
+
+def _buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = fixtures.pixels(spark, sf_dir)
+    front = px.select("image_id", "y", "x", F.floor(F.col("v") * _alpha3() / 255).alias("v"), _alpha3().alias("a"))
+    return formats.composite_on_buffer(front, px.select("image_id", "y", "x", F.col("g").alias("d")), indexed=True)
+
+
+_register("composite_on_buffer", _buffered, f"{PX}, f AS (SELECT image_id, y, x, v * {_ALPHA3} // 255 AS v, {_ALPHA3} AS a, g AS d FROM px) SELECT image_id, y, x, CASE WHEN a = 0 THEN d WHEN a = 255 THEN v ELSE v + ((255 - a) * d + 127) // 255 END AS v, CAST(a AS BIGINT) AS a FROM f")
+_pixels("premultiplied_gray_16", {"v": lambda: formats.premultiplied_gray(col("v16"), col("a16")), "black": lambda: formats.on_black(col("v16"), col("a"))},
+        {"v": "(v16 * a16 + 32767) // 65535", "black": "(v16 * a * 257 + v16 * a * 257 // 65536 + 32768) // 65536"})
+_BOUNDS = {e: gm.narrowing_bounds(e, 5) for e in (FROM, TO)}
+_pixels("gamma_16_narrowing", {f"e{e}": (lambda e=e: gm.curve_16_narrowing(e, 5)(col("v16"))) for e in (FROM, TO)}, {f"e{e}": f"257 * len(list_filter({b}, lambda z: z <= v16 // 32))" for e, b in _BOUNDS.items()})
+_TEXT = "CASE WHEN v >= 100000 THEN '1' ELSE rtrim(CAST(v AS VARCHAR), '0') END"
+_part("double_to_text", {"text": lambda: md.double_to_text(F.col("p_retailprice") * 1000 - 1_000_000), "tiny": lambda: md.double_to_text(F.col("p_size") / 1_000_000)},
+      "CASE WHEN t.x < 0 THEN '-' ELSE '' END || CASE WHEN length(t.plain) <= length(t.power) THEN t.plain ELSE t.power END AS text, CASE WHEN length(s.plain) <= length(s.power) THEN s.plain ELSE s.power END AS tiny")
+
+
+def _text_sql(x: str) -> str:
+    """The same text by DuckDB expressions over one value."""
+    at = "CASE WHEN {e} >= 4 THEN m / pow(10.0::DOUBLE, ({e} - 4)::DOUBLE) ELSE m * pow(10.0::DOUBLE, (4 - {e})::DOUBLE) END"
+    return (
+        f"SELECT p_partkey, x, CASE WHEN e < 0 THEN '.' || repeat('0', CAST(-e - 1 AS INT)) || d WHEN e + 1 >= length(d) THEN d || repeat('0', CAST(e + 1 - length(d) AS INT)) ELSE substr(d, 1, e + 1) || '.' || substr(d, e + 2) END AS plain, d || 'E' || CAST(e - length(d) + 1 AS VARCHAR) AS power "
+        f"FROM (SELECT p_partkey, x, {_TEXT} AS d, CASE WHEN v >= 100000 THEN low + 1 ELSE low END AS e FROM (SELECT *, CAST(floor(({at.format(e='low')}) + 0.5) AS BIGINT) AS v FROM (SELECT *, CASE WHEN ({at.format(e='g')}) < 10000 THEN g - 1 WHEN ({at.format(e='g')}) >= 100000 THEN g + 1 ELSE g END AS low FROM (SELECT *, CAST(floor(log10(m)) AS INT) AS g FROM (SELECT p_partkey, {x} AS x, abs({x}) AS m FROM part)))))"
+    )
+
+
+ORACLE_SQL["double_to_text"] = ORACLE_SQL["double_to_text"].replace("SELECT p_partkey,", "SELECT t.p_partkey,").replace("FROM part", f"FROM ({_text_sql('(p_retailprice * 1000 - 1000000)')}) t JOIN ({_text_sql('(p_size / 1000000.0::DOUBLE)')}) s ON t.p_partkey = s.p_partkey")
+
+
 # --- streaming ------------------------------------------------------------------------------------------------------
 
 

@@ -62,6 +62,31 @@ def curve_16_coarse(exponent: int, shift: int) -> Callable[[Column], Column]:
     return lambda v: F.floor((F.shiftright(v, shift) * 65535 + half) / last)
 
 
+def narrowing_bounds(exponent: int, shift: int) -> list[int]:
+    """First index of a coarse table that no longer gives each of the 255 lower outputs.
+
+    The midpoint between two outputs goes back through the rounded reciprocal exponent to an input, on the table's own scale.
+    """
+    inverse, last = math.floor(1e10 / exponent + 0.5) * 1e-5, (1 << (16 - shift)) - 1
+    inputs = (math.floor(65535 * ((v * 257 + 128) / 65535) ** inverse + 0.5) for v in range(255))
+    return [min((b * last + 32768) // 65535 + 1, last + 1) for b in inputs]
+
+
+def curve_16_narrowing(exponent: int, shift: int) -> Callable[[Column], Column]:
+    """The table used when 16 bits will be cut to 8: only outputs that are multiples of 257.
+
+    An output is the number of bounds at or below the index, so the range look-up is one constant array over the
+    table's own inputs.
+    """
+    bounds, table, output = narrowing_bounds(exponent, shift), [], 0
+    for index in range(1 << (16 - shift)):
+        while output < 255 and index >= bounds[output]:
+            output += 1
+        table.append(output * 257)
+    values = F.expr(f"array({', '.join(f'{x}L' for x in table)})")
+    return lambda v: F.get(values, F.shiftright(v, shift).cast("int"))
+
+
 def curve_small(exponent: int, depth: int) -> Callable[[Column], Column]:
     """2- and 4-bit samples: replicated to 8 bits, corrected, cut back; 1-bit samples are left alone."""
     if depth == 1:

@@ -46,6 +46,31 @@ def fixed_to_text(v: Column) -> Column:
     return F.concat(F.when(v < 0, "-").otherwise(""), text)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: a lambda variable over a one-element array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def double_to_text(v: Column) -> Column:
+    """At most five significant digits, plain or with an exponent, whichever is shorter (plain on ties)."""
+    m = F.abs(v)
+    scaled = lambda e: F.when(e >= 4, m / F.pow(F.lit(10.0), (e - 4).cast("double"))).otherwise(m * F.pow(F.lit(10.0), (F.lit(4) - e).cast("double")))
+    near = F.floor(F.log10(F.nullif(m, F.lit(0.0)))).cast("int")
+    exact = lambda g: _let(scaled(g), lambda x: F.when(x < 10000, g - 1).when(x >= 100000, g + 1).otherwise(g))
+    pair = lambda e: _let(F.floor(scaled(e) + 0.5).cast("long"), lambda n: F.when(n >= 100000, F.struct(F.lit("1").alias("d"), (e + 1).alias("e"))).otherwise(F.struct(F.rtrim(n.cast("string"), F.lit("0")).alias("d"), e.alias("e"))))
+
+    def spelled(p: Column) -> Column:
+        d, e, n = p["d"], p["e"], F.length(p["d"])
+        zeros = lambda k: F.repeat(F.lit("0"), F.greatest(k, F.lit(0)))
+        whole = F.concat(d, zeros(e + 1 - n))
+        mixed = F.concat(F.substring(d, F.lit(1), e + 1), F.lit("."), F.substring(d, e + 2, n))
+        plain = F.when(e < 0, F.concat(F.lit("."), zeros(-e - 1), d)).when(e + 1 >= n, whole).otherwise(mixed)
+        return _let(F.struct(plain.alias("a"), F.concat(d, F.lit("E"), (e - n + 1).cast("string")).alias("b")), lambda t: F.when(F.length(t["a"]) <= F.length(t["b"]), t["a"]).otherwise(t["b"]))
+
+    text = _let(_let(_let(near, exact), pair), spelled)
+    return F.when(v == 0, "0").otherwise(F.concat(F.when(v < 0, "-").otherwise(""), text))
+
+
 def is_number(text: Column) -> Column:
     return text.rlike(NUMBER)
 
