@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_or_shuffled
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Distinct fingerprints up to which 2 vantage levels are used; each further level is for 64 times as many.
 LEVEL_STEP = 2_000_000
+#: Home rows, and guests, that one task of a cell takes; larger cells are split. Cells that are split, as broadcast.
+CELL_ROWS, HOT_CELLS = 8192, 100_000
 #: Pairs compared at once, and below which a block is not partitioned further.
 BLOCK_PAIRS = 1 << 22
 
@@ -140,33 +142,64 @@ def _compare(values: np.ndarray, home: np.ndarray, guest: np.ndarray, same: bool
 
 
 def cell_links(cell: pd.DataFrame, radius: int, points: list[int]) -> pd.DataFrame:
-    """u, v: a spanning forest of the links inside a cell's home rows and from its guests to them."""
+    """u, v: a spanning forest of the links from a task's guests to its home rows, and among these if ``own``."""
     values = cell["fp"].to_numpy(np.int64).view(np.uint64)
     home, guest = np.flatnonzero(cell["home"].to_numpy()), np.flatnonzero(~cell["home"].to_numpy())
     forest = _Forest(len(values))
-    _compare(values, home, home, True, radius, points, forest)
+    if cell["own"].iloc[0]:
+        _compare(values, home, home, True, radius, points, forest)
     _compare(values, home, guest, False, radius, points, forest)
     links = np.array(forest.links, np.int64).reshape(-1, 2)
     signed = values.view(np.int64)
     return pd.DataFrame({"u": signed[links[:, 0]], "v": signed[links[:, 1]]})
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, levels: int | None = None) -> DataFrame:
+def visiting_rows(fps: DataFrame, radius: int, points: list[int]) -> DataFrame:
+    """cell, fp, home: every fingerprint in its own cell, and as a guest in those that the bounds leave."""
+    cell = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p - (1 << 64) if p >> 63 else p))).cast("int") for p in points])
+    home = fps.select("fp", cell.alias("cell"))
+    steps = F.array(*[F.array(*[F.lit(d) for d in t]) for t in visits(len(points), radius)])
+    guest = home.select("fp", "cell", F.explode(steps).alias("step")).select("fp", F.zip_with("cell", "step", lambda a, b: a + b).alias("cell"))
+    guest = guest.filter(F.forall("cell", lambda x: (x >= 0) & (x <= 64)))
+    rows = home.withColumn("home", F.lit(True)).unionByName(guest.withColumn("home", F.lit(False)))
+    return rows.select(F.aggregate("cell", F.lit(0).cast("long"), lambda a, x: a * 65 + x).alias("cell"), "fp", "home")
+
+
+def split_cells(rows: DataFrame, most: int = CELL_ROWS) -> DataFrame:
+    """cell, i, j, fp, home, own: rows dealt to tasks of at most about ``2 * most`` rows.
+
+    A cell with more is split: home rows into parts i, guests into parts j, and each (i, j) is a task, so every home
+    row meets every guest. Two home parts i < k meet in the task (i, -1 - k), and a part meets itself in (i, -1 - i).
+    """
+    n_home = F.count(F.when(F.col("home"), 1))
+    sizes = rows.groupBy("cell").agg(n_home.alias("n_home"), (F.count(F.lit(1)) - n_home).alias("n_guest"))
+    parts = lambda c: F.ceil(F.col(c) / most)
+    hot = materialise(sizes.filter(f"n_home > {most} or n_guest > {most}").select("cell", parts("n_home").alias("hs"), parts("n_guest").alias("gs")), "hot-cells")
+    one = F.lit(1).cast("long")
+    dealt = rows.join(small_or_shuffled(hot, HOT_CELLS), "cell", "left")
+    dealt = dealt.withColumn("hs", F.greatest(F.coalesce("hs", one), one)).withColumn("gs", F.greatest(F.coalesce("gs", one), one))
+    dealt = dealt.withColumn("h", F.pmod(F.xxhash64("fp"), F.col("hs"))).withColumn("g", F.pmod(F.xxhash64("fp"), F.col("gs")))
+    zero = F.lit(0).cast("long")
+    task = lambda i, j, home, own: F.struct(i.alias("i"), j.alias("j"), F.lit(home).alias("home"), own.alias("own"))
+    whole = F.col("hs") == 1
+    with_guests = F.transform(F.sequence(zero, F.col("gs") - 1), lambda j: task(F.col("h"), j, True, whole & (j == 0)))
+    later = F.transform(F.sequence(F.col("h"), F.col("hs") - 1), lambda k: task(F.col("h"), -1 - k, True, k == F.col("h")))
+    earlier = F.transform(F.filter(F.sequence(zero, F.col("h")), lambda k: k < F.col("h")), lambda k: task(k, -1 - F.col("h"), False, F.lit(False)))
+    of_home = F.when(whole, with_guests).otherwise(F.concat(with_guests, later, earlier))
+    of_guest = F.transform(F.sequence(zero, F.col("hs") - 1), lambda i: task(i, F.col("g"), False, whole & (F.col("g") == 0)))
+    return dealt.select("cell", "fp", F.explode(F.when(F.col("home"), of_home).otherwise(of_guest)).alias("t")).select("cell", "fp", "t.*")
+
+
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, levels: int | None = None, most: int = CELL_ROWS) -> DataFrame:
     """u, v over distinct fingerprints ``fp``: links whose components are those of all pairs within ``radius``."""
     if levels is None:
         n, levels = fps.count(), 2
         while n > LEVEL_STEP * 64 ** (levels - 2):
             levels += 1
     points = vantage_points(levels + 12)
-    cell = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p - (1 << 64) if p >> 63 else p))).cast("int") for p in points[:levels]])
-    home = fps.select("fp", cell.alias("cell"))
-    steps = F.array(*[F.array(*[F.lit(d) for d in t]) for t in visits(levels, radius)])
-    guest = home.select("fp", "cell", F.explode(steps).alias("step")).select("fp", F.zip_with("cell", "step", lambda a, b: a + b).alias("cell"))
-    guest = guest.filter(F.forall("cell", lambda x: (x >= 0) & (x <= 64)))
-    rows = home.withColumn("home", F.lit(True)).unionByName(guest.withColumn("home", F.lit(False)))
-    key = F.aggregate("cell", F.lit(0).cast("long"), lambda a, x: a * 65 + x)
     inner = points[levels:]
-    return rows.select(key.alias("cell"), "fp", "home").groupBy("cell").applyInPandas(lambda pdf: cell_links(pdf, radius, inner), "u long, v long")
+    tasks = split_cells(visiting_rows(fps, radius, points[:levels]), most)
+    return tasks.groupBy("cell", "i", "j").applyInPandas(lambda pdf: cell_links(pdf, radius, inner), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
