@@ -33,6 +33,8 @@ KEY_BITS, START_BITS = 33, 30
 #: The filter of values that need a second look: 8 MB; used up to this many values, beyond it they are joined.
 FILTER_BITS, FILTER_VALUES = 26, 4_000_000
 MAX_RUNS = 4
+#: Ranges of the id that a whole table is taken in by.
+BATCHES = 2
 #: Documents are worked on together up to this many bytes.
 CHUNK_BYTES = 1 << 17
 
@@ -238,9 +240,9 @@ def _emit_result(bits, with_text: bool):
     def run(batches):
         for batch in batches:
             n_words, n_removed, out = [], [], []
-            for rows, texts in _chunks(batch, 2):
+            for rows, texts in _chunks(batch, 1):
                 c = Chunk(texts)
-                stay = _stay(c, *(batch.column(k)[rows.start : rows.stop].to_pylist() for k in (3, 4)), bits.value if bits else None)
+                stay = _stay(c, *(batch.column(k)[rows.start : rows.stop].to_pylist() for k in (2, 3)), bits.value if bits else None)
                 for text, low, high in zip(texts, c.first.tolist(), c.first[1:].tolist()):
                     words, own = text.split(), stay[low:high]
                     gone = len(own) - int(np.count_nonzero(own))
@@ -250,7 +252,7 @@ def _emit_result(bits, with_text: bool):
                     n_words.append(high - low)
                     n_removed.append(gone)
                     out.append(kept.decode() if with_text else hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], ["key", "doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], ["key", "n_words", "n_removed", "kept"])
 
     return run
 
@@ -278,7 +280,7 @@ class PassageIndex:
         self._write(old.repartition("m", "b"))
 
     def ingest(self, batch: DataFrame, history: DataFrame | None = None, with_text: bool = False) -> DataFrame:
-        """key, doc_id, n_words, n_removed, kept of each row of ``batch`` (doc_id, key, order, text).
+        """key, n_words, n_removed, kept of each row of ``batch`` (key, text, and order if keys don't give it).
 
         ``kept`` is the kept text, or its SHA-256. ``history`` (key, text) holds the documents of earlier
         batches; all their keys are less than the batch's.
@@ -303,8 +305,8 @@ class PassageIndex:
             marked = places.join(mixed.withColumn("x", F.lit(True)), "m", "left")
             listed = marked.withColumn("start", F.when(F.col("x"), -1 - F.col("start")).otherwise(F.col("start")))
         lists = listed.groupBy("key").agg(F.collect_list("start").alias("listed"))
-        rows = batch.select("key", "doc_id", "text").join(lists, "key", "left")
-        looked = rows.select("key", "text", "listed")
+        rows = batch.select("key", "text").join(lists, "key", "left")
+        looked = rows  # the same columns for both uses, and for history, so that one exchange of the texts serves them
         if past:
             if history is None:
                 raise ValueError("the documents of earlier batches are needed")
@@ -312,9 +314,8 @@ class PassageIndex:
         windows = order.attach(looked.mapInArrow(_emit_windows(bits), "h long, m long, key long, start long"), batch)
         firsts = order.split(windows.groupBy("h", "m").agg(F.min("pos").alias("pos")))
         kept = firsts.groupBy("key").agg(F.collect_list("start").alias("kept"))
-        done = rows.join(kept, "key", "left").select("key", "doc_id", "text", "listed", "kept")
-        kind = batch.schema["doc_id"].dataType.simpleString()
-        out = done.mapInArrow(_emit_result(bits, with_text), f"key long, doc_id {kind}, n_words long, n_removed long, kept string")
+        done = rows.join(kept, "key", "left").select("key", "text", "listed", "kept")
+        out = done.mapInArrow(_emit_result(bits, with_text), "key long, n_words long, n_removed long, kept string")
         if len(self.runs) > self.max_runs:
             out = materialise(out, "passages")
             self.compact()
@@ -356,15 +357,28 @@ def _filter_of(values: DataFrame) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, and kept_sha256 or (``with_text``) kept: one row per input row."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, batches: int = BATCHES) -> DataFrame:
+    """doc_id, n_words, n_removed, and kept_sha256 or (``with_text``) kept: one row per input row.
+
+    The table is taken in by ``batches`` ranges of the id, each merged with the runs of those before. Where ids
+    repeat or are missing, places are compared with the row's own number too, in one batch.
+    """
     spark = docs.sparkSession
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    counts = ids.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("void"), F.min("doc_id").alias("low")).first()
-    text = text_or_empty(F.col(text_col)).alias("text")
-    if (counts["most"] or 0) <= 1 and not counts["void"]:
-        batch = docs.select(F.col(id_col).alias("doc_id"), (F.col(id_col).cast("long") - F.lit(counts["low"] or 0)).alias("key"), text)
+    counts = ids.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("void"), F.min("doc_id").alias("low"), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [1.0]).alias("cuts")).first()
+    index, text = PassageIndex(spark), text_or_empty(F.col(text_col)).alias("text")
+    if (counts["most"] or 0) > 1 or counts["void"]:
+        batch = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("order"), text)
+        found = index.ingest(batch, with_text=with_text).join(batch.select("key", F.col("order").alias("doc_id")), "key")
     else:
-        batch = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("order"), text)
-    found = PassageIndex(spark).ingest(batch, with_text=with_text)
+        low_id = F.lit(counts["low"] or 0)
+        rows = docs.select((F.col(id_col).cast("long") - low_id).alias("key"), text)
+        cuts = sorted({c - (counts["low"] or 0) for c in counts["cuts"] or []})[: batches - 1]
+        found = past = None
+        for low, high in zip([None, *cuts], [*cuts, None]):
+            batch = rows.filter(" and ".join(["key is not null"] + [f"key > {low}"] * (low is not None) + [f"key <= {high}"] * (high is not None)))
+            new = index.ingest(batch, past, with_text)
+            found = new if found is None else found.unionByName(new)
+            past = batch if past is None else past.unionByName(batch)
+        found = found.withColumn("doc_id", (F.col("key") + low_id).cast(docs.schema[id_col].dataType))
     return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept" if with_text else "kept_sha256"))
