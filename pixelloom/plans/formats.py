@@ -48,7 +48,7 @@ def describe(headers: DataFrame) -> DataFrame:
 def requests(start: Shape, transparent: bool, want: Format, file_gamma: int = FILE_SRGB, background: tuple[int, int, int] | None = None) -> tuple[set[str], Settings]:
     """What a format asks of images of one shape."""
     covered = start.has_alpha or transparent
-    asked = {"expand", "gamma", "expand_16" if want.linear else "scale_16"}
+    asked = {"expand", "expand_transparency", "gamma", "expand_16" if want.linear else "scale_16"}
     screen = LINEAR if want.linear else SRGB
     s = Settings(file_gamma=file_gamma, screen_gamma=screen, filler=0xFFFF, filler_after=not want.alpha_first)
     if want.linear and covered:
