@@ -28,7 +28,7 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Distinct fingerprints up to which 2 vantage levels are used; each further level is for 64 times as many.
 LEVEL_STEP = 2_000_000
 #: Home rows, and guests, that one task of a cell takes; larger cells are split. Cells that are split, as broadcast.
-CELL_ROWS, HOT_CELLS = 8192, 100_000
+HOME_ROWS, GUEST_ROWS, HOT_CELLS = 4096, 6144, 100_000
 #: Pairs compared at once, and below which a block is not partitioned further.
 BLOCK_PAIRS = 1 << 22
 
@@ -165,16 +165,16 @@ def visiting_rows(fps: DataFrame, radius: int, points: list[int]) -> DataFrame:
     return rows.select(F.aggregate("cell", F.lit(0).cast("long"), lambda a, x: a * 65 + x).alias("cell"), "fp", "home")
 
 
-def split_cells(rows: DataFrame, most: int = CELL_ROWS) -> DataFrame:
-    """cell, i, j, fp, home, own: rows dealt to tasks of at most about ``2 * most`` rows.
+def split_cells(rows: DataFrame, homes: int = HOME_ROWS, guests: int = GUEST_ROWS) -> DataFrame:
+    """cell, i, j, fp, home, own: rows dealt to tasks of at most about ``homes + guests`` rows.
 
     A cell with more is split: home rows into parts i, guests into parts j, and each (i, j) is a task, so every home
     row meets every guest. Two home parts i < k meet in the task (i, -1 - k), and a part meets itself in (i, -1 - i).
     """
     n_home = F.count(F.when(F.col("home"), 1))
     sizes = rows.groupBy("cell").agg(n_home.alias("n_home"), (F.count(F.lit(1)) - n_home).alias("n_guest"))
-    parts = lambda c: F.ceil(F.col(c) / most)
-    hot = materialise(sizes.filter(f"n_home > {most} or n_guest > {most}").select("cell", parts("n_home").alias("hs"), parts("n_guest").alias("gs")), "hot-cells")
+    hot = sizes.filter(f"n_home > {homes} or n_guest > {guests}").select("cell", F.ceil(F.col("n_home") / homes).alias("hs"), F.ceil(F.col("n_guest") / guests).alias("gs"))
+    hot = materialise(hot, "hot-cells")
     one = F.lit(1).cast("long")
     dealt = rows.join(small_or_shuffled(hot, HOT_CELLS), "cell", "left")
     dealt = dealt.withColumn("hs", F.greatest(F.coalesce("hs", one), one)).withColumn("gs", F.greatest(F.coalesce("gs", one), one))
@@ -190,7 +190,7 @@ def split_cells(rows: DataFrame, most: int = CELL_ROWS) -> DataFrame:
     return dealt.select("cell", "fp", F.explode(F.when(F.col("home"), of_home).otherwise(of_guest)).alias("t")).select("cell", "fp", "t.*")
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, levels: int | None = None, most: int = CELL_ROWS) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, levels: int | None = None, homes: int = HOME_ROWS, guests: int = GUEST_ROWS) -> DataFrame:
     """u, v over distinct fingerprints ``fp``: links whose components are those of all pairs within ``radius``."""
     if levels is None:
         n, levels = fps.count(), 2
@@ -198,7 +198,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, levels: int | None =
             levels += 1
     points = vantage_points(levels + 12)
     inner = points[levels:]
-    tasks = split_cells(visiting_rows(fps, radius, points[:levels]), most)
+    tasks = split_cells(visiting_rows(fps, radius, points[:levels]), homes, guests)
     return tasks.groupBy("cell", "i", "j").applyInPandas(lambda pdf: cell_links(pdf, radius, inner), "u long, v long")
 
 

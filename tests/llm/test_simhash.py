@@ -58,7 +58,7 @@ def test_links_have_the_components_of_all_pairs(spark, levels, most):
             fps.append(x)
     fps = sorted(set(fps))
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    links = fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"), levels=levels, most=most)
+    links = fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"), levels=levels, homes=most, guests=most + 1)
     assert all(((u ^ v) & (1 << 64) - 1).bit_count() <= 4 for u, v in links.collect())
     roots = {r["node"]: r["root"] for r in components(links).collect()}
     assert [roots.get(x, x) for x in signed] == plain_components(signed, fps)
@@ -87,7 +87,7 @@ def test_dense_group_gives_a_forest(spark):
     rng = np.random.default_rng(0)
     centre = int(rng.integers(1 << 62))
     fps = sorted({centre ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 60, (3000, 2))})
-    links = fingerprint_links(spark.createDataFrame([(x,) for x in fps], "fp long"), most=700)
+    links = fingerprint_links(spark.createDataFrame([(x,) for x in fps], "fp long"), homes=700, guests=500)
     assert len({r["root"] for r in components(links).collect()}) == 1
     assert links.count() <= 100 * len(fps)
 
