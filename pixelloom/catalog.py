@@ -363,10 +363,11 @@ _register("defilter_roundtrip", _defiltered, f"{PX} SELECT image_id, y AS row, x
 # --- files ----------------------------------------------------------------------------------------------------------
 
 
-def _encoded(spark: SparkSession, sf_dir: str, kind: str = "rgba", **options) -> DataFrame:
+def _encoded(spark: SparkSession, sf_dir: str, kind: str = "rgba", only: Column | None = None, **options) -> DataFrame:
     from .sources.images import encode_images
 
     px, cols, color = fixtures.pixels(spark, sf_dir), list(kind), {"v": 0, "rgb": 2, "rgba": 6}[kind]
+    px = px if only is None else px.filter(only)
     return encode_images(px.select("image_id", "y", "x", *cols), 8, cols, 8, color, **options)
 
 
@@ -447,6 +448,47 @@ def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("diagnostics", _damaged)
 
 
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata written into files and read back as values."""
+    import numpy as np
+    import pyarrow as pa
+
+    from .sources import codec
+    from .sources.images import relation
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_size").cast("long").alias("s"))
+    one = np.zeros((1, 1, 3), np.int32)
+
+    def write(batches):
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            made = [codec.encode(one, 8, 2, metadata={"gAMA": n + 1, "pHYs": [s, n % 100, 1], "oFFs": [-s, n, 0], "tIME": [2000 + s, n % 12 + 1, n % 28 + 1, n % 24, n % 60, s], "sRGB": n % 4}) for n, s in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["image_id", "content"])
+
+    back = relation(part.mapInArrow(write, "image_id long, content binary"), "metadata")
+    return back.select(F.col("image_id").cast("long").alias("p_partkey"), "name", "value")
+
+
+_register("metadata_roundtrip", _metadata, "SELECT p_partkey, name, CASE name WHEN 'gAMA' THEN CAST(p_partkey + 1 AS VARCHAR) WHEN 'sRGB' THEN CAST(p_partkey % 4 AS VARCHAR) WHEN 'pHYs' THEN '[' || p_size || ', ' || p_partkey % 100 || ', 1]' WHEN 'oFFs' THEN '[' || -p_size || ', ' || p_partkey || ', 0]' ELSE '[' || 2000 + p_size || ', ' || p_partkey % 12 + 1 || ', ' || p_partkey % 28 + 1 || ', ' || p_partkey % 24 || ', ' || p_partkey % 60 || ', ' || p_size || ']' END AS value FROM part, (SELECT unnest(['gAMA', 'sRGB', 'pHYs', 'oFFs', 'tIME']) AS name)")
+
+
+def _read_as(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of grey, RGB and RGBA images read as one format, each kind by its own plan."""
+    import uuid
+
+    from . import api
+    from .streaming.shared import shared_dir
+
+    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    for n, k in enumerate(("v", "rgb", "rgba")):
+        _encoded(spark, sf_dir, k, only=F.col("image_id") % 3 == n).write.mode("append").parquet(root)
+    out = api.read_as(spark.read.schema("image_id long, content binary").parquet(root), "bgra")
+    return out.select(*[F.col(c).cast("long").alias(c) for c in ("image_id", "y", "x", "c0", "c1", "c2", "c3")])
+
+
+_register("read_as", _read_as, f"{PX} SELECT image_id, y, x, CASE WHEN image_id % 3 = 0 THEN v ELSE b END AS c0, CASE WHEN image_id % 3 = 0 THEN v ELSE g END AS c1, CASE WHEN image_id % 3 = 0 THEN v ELSE r END AS c2, CASE WHEN image_id % 3 = 2 THEN a ELSE 255 END AS c3 FROM px")
+
+
 def _problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/part.parquet")
     v = F.col("p_partkey")

@@ -231,7 +231,7 @@ def _expressions(name: str, s: Shape, c: _Context, df: DataFrame, live: dict, pa
     p = c.s
     per_color = lambda f: live | {n: f(live[n], i) for i, n in enumerate(_colors(live))}
     if name == "expand_palette":
-        df = palettes.expand(df.withColumn("__i", live["i"]), palette, "__i")
+        df = palettes.expand(df.withColumn("__i", live["i"]), palette, "__i", by_image="image_id" in palette.columns)
         live = {"r": F.col("pr"), "g": F.col("pg"), "b": F.col("pb")} | ({"a": F.col("pa")} if c.transparent else {})
     elif name == "expand_gray":
         live = {"v": k.gray_to_8(live["v"], s.depth)}

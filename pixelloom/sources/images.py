@@ -21,7 +21,8 @@ SCHEMAS = {
     "headers": f"image_id string, {HEADER}",
     "palette": "image_id string, idx int, r int, g int, b int, a int, freq int",
     "scanlines": "image_id string, pass int, pass_row int, filter int",
-    "rows": "image_id string, y int, samples array<int>",
+    "rows": "image_id string, y int, width int, channels int, samples array<int>",
+    "kinds": "image_id string, color_type int, bit_depth int, transparent boolean, key string, gamma int",
     "text": "image_id string, ord int, compression int, keyword string, text string, language string, translated string",
     "unknown": "image_id string, ord int, name string, data binary, location int",
     "diagnostics": "image_id string, seq int, severity string, chunk string, message string",
@@ -34,7 +35,18 @@ def files(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.format("binaryFile").options(**options).load(path).select(F.col("path").alias("image_id"), "content")
 
 
-def _rows(kind: str, content: bytes | None, quiet_crc: bool) -> list[tuple]:
+def kind_of(image: codec.Image) -> tuple | None:
+    """color_type, bit_depth, transparent, key, gamma: what a plan depends on; None without a header."""
+    if image.header is None:
+        return None
+    trns, color = image.metadata.get("tRNS"), image.header["color_type"]
+    key = ",".join(str(trns[c]) for c in ("red", "green", "blue")) if trns and color in (0, 2) else ""
+    return color, image.header["bit_depth"], trns is not None, key, image.metadata.get("gAMA", 0)
+
+
+def _rows(kind: str, content: bytes | None, quiet_crc: bool, only: tuple | None) -> list[tuple]:
+    if only is not None and kind_of(codec.decode(content, pixels=False, quiet_crc=quiet_crc)) != only:
+        return []
     image = codec.decode(content, pixels=kind in ("rows", "scanlines", "diagnostics"), quiet_crc=quiet_crc)
     if kind == "chunks":
         return [(c.seq, c.offset, c.name, len(c.payload), c.payload, c.crc, c.crc_ok, c.location) for c in image.chunks]
@@ -46,7 +58,9 @@ def _rows(kind: str, content: bytes | None, quiet_crc: bool) -> list[tuple]:
     if kind == "scanlines":
         return image.filters
     if kind == "rows":
-        return [] if image.samples is None else [(y, row.ravel().tolist()) for y, row in enumerate(image.samples)]
+        return [] if image.samples is None else [(y, image.header["width"], image.header["channels"], row.ravel().tolist()) for y, row in enumerate(image.samples)]
+    if kind == "kinds":
+        return [] if image.header is None else [kind_of(image)]
     if kind == "text":
         return [(i, *t) for i, t in enumerate(image.text)]
     if kind == "unknown":
@@ -56,14 +70,14 @@ def _rows(kind: str, content: bytes | None, quiet_crc: bool) -> list[tuple]:
     return [(i, *d) for i, d in enumerate(image.diagnostics)]
 
 
-def relation(images: DataFrame, kind: str, quiet_crc: bool = False) -> DataFrame:
-    """One of ``SCHEMAS`` from (image_id, content)."""
+def relation(images: DataFrame, kind: str, quiet_crc: bool = False, only: tuple | None = None) -> DataFrame:
+    """One of ``SCHEMAS`` from (image_id, content). ``only``: of images of one kind; others are not inflated."""
     schema = SCHEMAS[kind]
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = _rows(kind, content.as_py(), quiet_crc)
+                found = _rows(kind, content.as_py(), quiet_crc, only)
                 for at in range(0, len(found), 4096):
                     part = found[at : at + 4096]
                     cols = [[name] * len(part), *map(list, zip(*part))]
@@ -75,9 +89,9 @@ def relation(images: DataFrame, kind: str, quiet_crc: bool = False) -> DataFrame
     return images.select(F.col("image_id").cast("string"), "content").mapInArrow(run, schema)
 
 
-def pixels(images: DataFrame, quiet_crc: bool = False) -> DataFrame:
-    """image_id, y, x, c0..c3 (NULL beyond the image's channels)."""
-    rows = relation(images, "rows", quiet_crc).join(relation(images, "headers", quiet_crc).select("image_id", "width", "channels"), "image_id")
+def pixels(images: DataFrame, quiet_crc: bool = False, only: tuple | None = None) -> DataFrame:
+    """image_id, y, x, c0..c3 (NULL beyond the image's channels); no shuffle."""
+    rows = relation(images, "rows", quiet_crc, only)
     at = rows.select("image_id", "y", "samples", "channels", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
     take = [F.when(F.col("channels") > k, F.get("samples", F.col("x") * F.col("channels") + k)).alias(f"c{k}") for k in range(4)]
     return at.select("image_id", "y", "x", *take)
