@@ -1,10 +1,11 @@
 """Secret scans: pattern spans, and a character convolutional network over every candidate in its context.
 
 Three patterns give the base spans, which always stay. Further candidates are runs of 16 or more key characters
-with a letter and a digit. Each candidate is cut out with its surroundings and scored by a small
-convolutional network in numpy (embedding, convolution, maximum over positions, logistic output), trained on labelled findings
-made from fixed seeds. Scores are calibrated by a logistic fit on findings that training did not see; the
-threshold lies above all of their plain candidates, but never so high that less than ``RECALL`` of the secrets pass.
+with a letter and a digit. Each candidate is cut out with its surroundings, in overlapping windows if it is longer than
+``BODY``, and scored by its best window. The score is a small convolutional network's in numpy (embedding, convolution,
+maximum over positions, logistic output), trained on labelled findings made from fixed seeds and on the windows of long
+runs joined from them. Scores are calibrated by a logistic fit on findings that training did not see; the threshold lies
+above all of their plain candidates, but never so high that less than ``RECALL`` of the secrets pass.
 
 Defined results: a null text is the empty text; positions are code points, ends exclusive; rows that repeat are scanned
 alike; an empty table gives no rows; further columns are ignored, whatever their names.
@@ -15,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 HINTS = ("passw", "secret", "token", "api")
 
-LEFT, BODY, RIGHT = 24, 40, 8
+LEFT, BODY, RIGHT, STRIDE = 24, 40, 8, 8
 LENGTH = LEFT + BODY + RIGHT
 SYMBOLS, EMBED, WIDTH, FILTERS = 98, 8, 5, 32
 EXAMPLES, EPOCHS, BATCH, RECALL = 4000, 8, 64, 0.97
@@ -67,6 +70,12 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return np.stack([chars, inside])
 
 
+def window_spans(start: int, end: int) -> list[tuple[int, int]]:
+    """The windows of a candidate: one every ``STRIDE`` characters, the last one ending with it."""
+    last = max(start, end - BODY)
+    return [(at, min(end, at + BODY)) for at in (*range(start, last, STRIDE), last)]
+
+
 class Network:
     """Embedding (and an inside mark), one convolution, maximum over positions, logistic output."""
 
@@ -96,6 +105,22 @@ class Network:
         """Calibrated probabilities."""
         return 1 / (1 + np.exp(-(self.scale * self.logits(x) + self.shift)))
 
+    def span_logits(self, spans: Iterable[tuple[str, int, int]]) -> np.ndarray:
+        """The logit of each (text, start, end): its best window's. At most 4096 windows are held at once."""
+        best: list[float] = []
+        cells = ((k, text, a, b) for k, (text, start, end) in enumerate(spans) for a, b in window_spans(start, end))
+        while part := list(islice(cells, 4096)):
+            for (k, *_), z in zip(part, self.logits(np.stack([window(*c[1:]) for c in part])).tolist()):
+                if k == len(best):
+                    best.append(z)
+                else:
+                    best[k] = max(best[k], z)
+        return np.array(best)
+
+    def span_scores(self, spans: Iterable[tuple[str, int, int]]) -> np.ndarray:
+        """Calibrated probabilities of whole candidates."""
+        return 1 / (1 + np.exp(-(self.scale * self.span_logits(spans) + self.shift)))
+
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         rng, t = np.random.default_rng(12), 0
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -120,9 +145,9 @@ class Network:
                     s[k] = 0.999 * s[k] + 0.001 * g * g
                     self.p[k] -= 0.005 * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+    def calibrate(self, spans: list[tuple[str, int, int]], y: np.ndarray) -> None:
         """Logistic fit of the labels on the logits, then a threshold above the plain findings within the recall asked for."""
-        z = self.logits(x)
+        z = self.span_logits(spans)
         a, b = 1.0, 0.0
         for _ in range(200):
             p = 1 / (1 + np.exp(-(a * z + b)))
@@ -131,7 +156,7 @@ class Network:
             step = np.linalg.solve(h, [np.sum((p - y) * z), np.sum(p - y)])
             a, b = a - 0.5 * step[0], b - 0.5 * step[1]
         self.scale, self.shift = float(a), float(b)
-        scores = self.scores(x)
+        scores = self.span_scores(spans)
         ceiling = float(np.quantile(scores[y == 1], 1 - RECALL, method="lower"))
         self.threshold = min(ceiling, max(0.5, float(scores[y == 0].max(initial=0.0))))
 
@@ -193,13 +218,44 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def long_findings(n: int, seed: int) -> list[tuple[str, int, int, int, int]]:
+    """text, start, end, and start and end of the secret in it: long runs of made findings, half of them with a secret (else both are 0)."""
+    rng, made = random.Random(seed), labelled_findings(4 * n, seed)
+    cores = [[t[a:b] for t, a, b, label in made if label == k] for k in (0, 1)]
+    out = []
+    for i in range(n):
+        parts = [rng.choice(cores[0]) for _ in range(rng.randint(2, 5))]
+        at = rng.randint(0, len(parts))
+        if i % 2:
+            parts.insert(at, rng.choice(cores[1]))
+        joins = [rng.choice("///.=_-") for _ in parts]
+        run = "".join(p + j for p, j in zip(parts, joins))[:-1]
+        low = sum(len(p) + 1 for p in parts[:at]) if i % 2 else 0
+        lead = (m := rng.choice(made))[0][: m[1]]
+        out.append((lead + run + rng.choice(["", " ", ".", '"', "\n", ")"]), len(lead), len(lead) + len(run), len(lead) + low if i % 2 else 0, len(lead) + low + len(parts[at]) if i % 2 else 0))
+    return out
+
+
+def long_windows(rows: list[tuple[str, int, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """text, start, end, label of the windows of long runs; those with less than 16 characters of a secret are left out."""
+    out = []
+    for text, start, end, low, high in rows:
+        for a, b in window_spans(start, end):
+            shared = min(b, high) - max(a, low)
+            if shared <= 0 or shared >= 16:
+                out.append((text, a, b, int(shared >= 16)))
+    return out
+
+
 @lru_cache(maxsize=1)
 def train(examples: int = EXAMPLES) -> Network:
     """The network, trained on made findings and calibrated on others."""
     net = Network()
-    for seed, step in ((1, net.fit), (2, net.calibrate)):
-        rows = labelled_findings(examples, seed)
-        step(np.stack([window(t, a, b) for t, a, b, _ in rows]), np.array([r[3] for r in rows], float))
+    rows = [(t, a, b, label) for t, start, end, label in labelled_findings(examples, 1) for a, b in window_spans(start, end)]
+    rows += long_windows(long_findings(examples // 4, 3))
+    net.fit(np.stack([window(t, a, b) for t, a, b, _ in rows]), np.array([r[3] for r in rows], float))
+    rows = labelled_findings(examples, 2) + [(t, a, b, int(high > 0)) for t, a, b, _, high in long_findings(examples // 4, 4)]
+    net.calibrate([r[:3] for r in rows], np.array([r[3] for r in rows], float))
     return net
 
 
@@ -209,12 +265,9 @@ def scan_all(texts: list[str], net: Network) -> list[tuple[list[tuple[str, int,
     cells = [(i, kind, a, b) for i, spans in enumerate(base) for kind, a, b in spans]
     cells += [(i, "network", a, b) for i, t in enumerate(texts) for a, b in candidates(t, base[i])]
     every: list[list] = [[] for _ in texts]
-    for at in range(0, len(cells), 4096):
-        part = cells[at : at + 4096]
-        scores = net.scores(np.stack([window(texts[i], a, b) for i, _, a, b in part]))
-        for (i, kind, a, b), s in zip(part, scores.tolist()):
-            if kind != "network" or s >= net.threshold:
-                every[i].append((kind, a, b, s))
+    for (i, kind, a, b), s in zip(cells, net.span_scores((texts[i], a, b) for i, _, a, b in cells).tolist()):
+        if kind != "network" or s >= net.threshold:
+            every[i].append((kind, a, b, s))
     return [(b, sorted(e, key=lambda s: (s[1], KINDS.index(s[0])))) for b, e in zip(base, every)]
 
 

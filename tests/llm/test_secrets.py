@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from pixelloom.llm.secrets import base_spans, find_secrets, labelled_findings, scan_all, secret_digests, train, window
+from pixelloom.llm.secrets import BODY, base_spans, find_secrets, labelled_findings, long_findings, scan_all, secret_digests, train, window, window_spans
 
 
 def plain_spans(text):
@@ -33,6 +33,20 @@ def test_network_on_unseen_findings():
     assert found[label].mean() > 0.95 and found[~label].mean() < 0.02
 
 
+def test_whole_candidates_are_scored():
+    for n in (16, 40, 41, 48, 1000):
+        spans = window_spans(5, 5 + n)
+        assert {i for a, b in spans for i in range(a, b)} == set(range(5, 5 + n)) and all(b - a == min(n, BODY) for a, b in spans)
+    net, key = train(), "gh" + "p_a8Kd02mQpZ7rT1vX9yB4cE6fG3hJ5kL0"
+    path = "files.example.com/bucket/folder/name/other/"
+    assert [s[:3] for s in scan_all([f"see {path}{key} now"], net)[0][1]] == [("network", 4, 4 + len(path + key))]
+    assert scan_all([f"see {path}thing/page/of/the/site/number12.html now"], net) == [([], [])]
+    rows = long_findings(1000, 78)
+    found = net.span_scores(r[:3] for r in rows) >= net.threshold
+    label = np.array([r[4] > 0 for r in rows])
+    assert found[label].mean() > 0.95 and found[~label].mean() < 0.02
+
+
 def test_query_and_added_spans(spark):
     long = "word " * 40000 + 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
     rows = [(1, None, "x"), (2, "", "x"), (3, long, "x"), (3, long, "x"), (None, "AKIA" + "B2" * 8, None), (4, "auth gh" + "p_a8Kd02mQpZ7rT1vX9yB4cE6fG3hJ5kL0 x", "x"), (5, "see an.de/reou/thing/55 or 152.143.123.131 or und.34@mail7.example.com", "x")]
