@@ -47,7 +47,7 @@ PHRASES = ("cookie", "subscribe", "newsletter", "advert", "sponsored", "comment"
 def path_features(path: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
     found = {f"tag={path[-1][0] if path else '-'}"}
     near = None
-    for tag, attributes in reversed(path[-12:]):
+    for tag, attributes in reversed(path):
         if tag not in ("html", "body", "div", "section"):
             found.add(f"in={tag}")
         groups = {HINT_OF[w] for w in attribute_words(attributes) if w in HINT_OF} if attributes else set()
@@ -65,8 +65,8 @@ def text_features(block: Block) -> list[str]:
         out.append("stop")
     if "," in t:
         out.append("comma")
-    head = t[:400].lower()
-    out += [f"says={p}" for p in PHRASES if p in head]
+    low = t.lower()
+    out += [f"says={p}" for p in PHRASES if p in low]
     return out
 
 

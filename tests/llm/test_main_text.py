@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 
 from pixelloom.llm.common import table
-from pixelloom.llm.html_blocks import attribute_words, leaf_blocks
-from pixelloom.llm.main_text import Chain, extract, labelled_pages, main_blocks, train
+from pixelloom.llm.html_blocks import Block, attribute_words, leaf_blocks
+from pixelloom.llm.main_text import Chain, extract, labelled_pages, main_blocks, text_features, train
 
 
 @pytest.mark.parametrize(
@@ -105,3 +105,16 @@ def test_parts_that_are_not_the_article():
         '<section id="comments"><h3>Comments</h3><div class="comment"><p>I like it a lot, thanks.</p></div></section><footer>&copy; us</footer></body>'
     )
     assert main_blocks(page, train()) == ["Title of it", "First, a sentence.", "Second one."] and rng
+
+
+def test_whole_texts_and_paths_count():
+    filler = "Plain filler words of a long enough run of text here, and then some. " * 9
+    assert {"says=all rights reserved", "says=©"} <= set(text_features(Block(filler + "© us. All Rights Reserved.", (), 0.0)))
+    article = "<article><h1>Title of it</h1><p>First, a sentence.</p><p>Second one, of some more words than that.</p></article>"
+    main = ["Title of it", "First, a sentence.", "Second one, of some more words than that."]
+    notice = f"<div>{filler}We use cookies. Sponsored. Subscribe to our newsletter. Share this. &copy; us</div>"
+    assert main_blocks(f"<body>{article}{notice}</body>", train()) == main
+    inside, out = "<div>" * 14, "</div>" * 14
+    assert main_blocks(f"<body><nav>{inside}<p>Home of things and more of it</p>{out}</nav>{article}</body>", train()) == main
+    for head, end in (("<footer>", "</footer>"), ("<aside>", "</aside>"), ("<section id=comments>", "</section>")):
+        assert main_blocks(f"<body>{article}{head}{inside}<p>{filler[:69]}</p>{out}{end}</body>", train()) == main
