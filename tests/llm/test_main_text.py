@@ -33,6 +33,14 @@ def test_blocks(page, texts):
     assert [b.text for b in leaf_blocks(page)] == texts
 
 
+@pytest.mark.parametrize("tag", "math svg object canvas audio video noscript".split())
+def test_text_in_embedded_elements(tag):
+    assert [b.text for b in leaf_blocks(f"<p>a <{tag} id=k><title>no</title><b>x=1</b></{tag}> b</p><p>c")] == ["a x=1 b", "c"]
+    assert [b.text for b in leaf_blocks(f"<{tag} id=k><p>a</p><p>b")] == ["a", "b"]
+    page = f"<body><nav><a href=x>Home</a></nav><article><h1>Title of it</h1><p>First, a sentence <{tag}>of it.</p><p>Second one, of some more words.</p></article><footer>&copy; us</footer></body>"
+    assert main_blocks(page, train()) == ["Title of it", "First, a sentence of it.", "Second one, of some more words."]
+
+
 def test_attribute_words():
     assert attribute_words(' class="mainContent ad-box" id=top style="display: none"') == ["main", "content", "ad", "box", "top", "hidden"]
 
