@@ -1,7 +1,7 @@
 """Secret scans: pattern spans, and a character convolutional network over every candidate in its context.
 
 Three patterns give the base spans, which always stay. Further candidates are runs of 16 or more key characters
-with a letter and a digit. Each candidate is cut out with its surroundings, in overlapping windows if it is longer than
+with a letter and a digit, also what base spans leave of a longer run. Each candidate is cut out with its surroundings, in overlapping windows if it is longer than
 ``BODY``, and scored by its best window. The score is a small convolutional network's in numpy (embedding, convolution,
 maximum over positions, logistic output), trained on labelled findings made from fixed seeds and on the windows of long
 runs joined from them. Scores are calibrated by a logistic fit on findings that training did not see; the threshold lies
@@ -29,7 +29,8 @@ KINDS = ("assign", "access", "hex", "network")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}")
 HINTS = ("passw", "secret", "token", "api")
 
 LEFT, BODY, RIGHT, STRIDE = 24, 40, 8, 8
@@ -51,13 +52,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Runs of key characters with a letter and a digit that meet no span of ``taken``."""
-    out = []
+    """Runs of key characters with a letter and a digit, without the spans of ``taken`` (by start); what such a span leaves of a run is a run."""
+    out, spans, k = [], [(a, b) for _, a, b in taken], 0
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if not s.isalpha() and any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not any(a < m.end() and m.start() < b for _, a, b in taken):
-            out.append(m.span())
-    return out
+        at, stop = m.span()
+        while k < len(spans) and spans[k][0] < stop:
+            out.append((at, min(spans[k][0], stop)))
+            at = max(at, min(spans[k][1], stop))
+            if spans[k][1] > stop:
+                break
+            k += 1
+        out.append((at, stop))
+    return [(a, b) for a, b in out if b - a >= LEAST and any(c.isdigit() for c in text[a:b]) and any(c.isalpha() for c in text[a:b])]
 
 
 def window(text: str, start: int, end: int) -> np.ndarray:

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from pixelloom.llm.secrets import BODY, base_spans, find_secrets, labelled_findings, long_findings, scan_all, secret_digests, train, window, window_spans
+from pixelloom.llm.secrets import BODY, base_spans, candidates, find_secrets, labelled_findings, long_findings, scan_all, secret_digests, train, window, window_spans
 
 
 def plain_spans(text):
@@ -47,6 +47,22 @@ def test_whole_candidates_are_scored():
     assert found[label].mean() > 0.95 and found[~label].mean() < 0.02
 
 
+def test_what_base_spans_leave_of_a_run():
+    net, access, other, hexa = train(), "AKIA" + "IOSFODNN7EXAMPLE", "wJalrXUtnFEMI/K7MDENG/bPx" + "RfiCYzEXAMPLEKEY7", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    key = "gh" + "p_a8Kd02mQpZ7rT1vX9yB4cE6fG3hJ5kL0"
+    for kind, one, two in (("access", access, "/" + other), ("hex", hexa, "-" + key)):
+        assert [s[:3] for s in scan_all([f"see {one}{two} now"], net)[0][1]] == [(kind, 4, 4 + len(one)), ("network", 4 + len(one), 4 + len(one + two))]
+    assert [s[:3] for s in scan_all([f"see {key}.{hexa}_{key[::-1]} now"], net)[0][1]] == [("network", 4, 41), ("hex", 41, 81), ("network", 81, 118)]
+    rng = random.Random(6)
+    parts = ["token=", "secret: ", access, hexa, key, other, "/", "a.b/", " ", "é"]
+    for _ in range(2000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        base = base_spans(t)
+        free = "".join("\n" if any(a <= i < b for _, a, b in base) else c for i, c in enumerate(t))
+        want = [m.span() for m in re.finditer("[A-Za-z0-9+/_=.-]{16,}", free) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        assert candidates(t, base) == want, t
+
+
 def test_query_and_added_spans(spark):
     long = "word " * 40000 + 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'
     rows = [(1, None, "x"), (2, "", "x"), (3, long, "x"), (3, long, "x"), (None, "AKIA" + "B2" * 8, None), (4, "auth gh" + "p_a8Kd02mQpZ7rT1vX9yB4cE6fG3hJ5kL0 x", "x"), (5, "see an.de/reou/thing/55 or 152.143.123.131 or und.34@mail7.example.com", "x")]
