@@ -3,7 +3,8 @@
 A text is a vector of hashed byte n-grams (1 to 3 bytes of its lower-cased UTF-8), square-rooted and scaled to unit
 length. A one-versus-rest linear SVM picks the family; inside it each pair of languages has its own linear SVM
 and the language with most votes wins, the summed margin breaking ties. Training uses a bounded sample: at most
-about ``SAMPLE`` documents a language, chosen by a hash of the id, from documents outside the held-out third.
+about ``SAMPLE`` documents a language and ``SHARES`` times as many in all, chosen by a hash of the id, from documents outside
+the held-out third. Every language with a letter in one of them has one document in the sample at least.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is everything if no document can be
 learned from; languages unknown to ``FAMILIES`` are families of their own; rows that repeat are predicted alike; an
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 BINS = 1 << 12
 SAMPLE = 400
-MAX_LANGUAGES = 200
+SHARES = 20
 EPOCHS, REGULAR = 40, 1e-4
 
 # Language families of ISO 639-1 codes.
@@ -121,21 +122,21 @@ class LanguageModel:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel | None:
     """A model of the bounded sample, or None if there is nothing to learn from."""
     usable = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & ~held_out("id"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    place = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30))
+    lettered = F.when(F.col("text").rlike(r"\p{L}"), place)
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(lettered).alias("least")).collect()
     if not counts:
         return None
-    each = max(20, min(sample, 20 * sample // len(counts)))
-    share, mark = F.lit(0.0), F.col("lang")
-    for r in counts:
-        share = F.when(mark == r["lang"], F.lit(min(1.0, each / r["count"]))).otherwise(share)
-    pick = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < share * (1 << 30)
+    each = max(1, min(sample, SHARES * sample // len(counts)))
+    ends = [(r["lang"], max(int(min(1.0, each / r["n"]) * (1 << 30)), -1 if r["least"] is None else r["least"])) for r in counts]
+    ends = docs.sparkSession.createDataFrame(ends, "lang string, end long")
 
     def run(batches):
         for batch in batches:
             rows = [(c, features(t).tobytes()) for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t and _LETTER.search(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "vector"])
 
-    rows = usable.filter(pick).select("lang", "text").mapInArrow(run, "lang string, vector binary").collect()
+    rows = usable.join(F.broadcast(ends), "lang").filter(place <= F.col("end")).select("lang", "text").mapInArrow(run, "lang string, vector binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["vector"])))
     if not rows:
         return None

@@ -17,6 +17,17 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_every_language_is_learned(spark):
+    codes = [f"{a}{b}" for a in "qwxyz" for b in "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz"][:130]
+    codes = [f"{c}{i}" for i, c in enumerate(codes + codes)]
+    rows = [(i, f"{c} {c * 3} {'12' * (i % 3)}", c) for i, c in enumerate(codes * 2)] + [(None, "1 2", "digits"), (None, None, "nothing")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    usable = {c for i, _, c in rows if i is not None and zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(usable) > 200
+    for sample in (400, 1):
+        assert {c for own in train(docs, sample=sample).members for c in own} == usable
+
+
 def test_edges(spark):
     docs = table(spark, DATA, "documents")
     model = train(docs)
