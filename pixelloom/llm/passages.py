@@ -5,8 +5,8 @@ Every window is represented by its least 5-word hash ``m`` (equal windows have e
 each distinct block once, at its first place, in immutable runs sorted by ``(m, b)``. A batch's blocks are combined
 map-side, merged with the runs, and what is new is written as the next run; runs are compacted into one when there
 are many. A block seen earlier repeats in full. Where an ``m`` occurs in several different blocks, only then
-the windows of those first blocks are hashed one by one, verified by two 64-bit hashes, and the first place of each is
-kept. Repeated windows cost one row a distinct block and task, so no copy group is gathered anywhere.
+the windows of those first blocks are hashed one by one, told apart by two 64-bit hashes, and the first place of each is
+kept. Hashes are not checked against words. Repeated windows cost one row a distinct block and task, so no copy group is gathered anywhere.
 
 Defined results: a null or empty text has no words; fewer than 20 words are never removed; rows that repeat an id are
 told apart by their place in the table and the later one loses; a null id sorts last; an empty table gives no
