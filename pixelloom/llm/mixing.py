@@ -1,22 +1,23 @@
 """Mixing sources to target weights by hash-threshold histograms, without a sort of documents.
 
-Each document has a 60-bit hash of its id. Sizes are summed by (source, top 12 bits); a running sum
+Each document has a 60-bit hash of its id (of its text where the id is null). Sizes are summed by (source, top 12 bits); a running sum
 over at most 4096 buckets a source finds the bucket in which the source's budget ends, only that
 bucket's documents are summed again by their next 12 bits, and so on until one hash value is left.
 Documents under the threshold get one copy more than the ``floor(target / source size)`` copies all get,
 so the budgets for 0, 1, 2 and 3 copies are nested.
 
 Defined results: a null text has size 0; null is a source of its own, last in order; a source of size 0
-has target 0; rows that repeat an id share a hash and so the number of copies; an empty table gives no
-rows. Reruns agree since nothing depends on partitioning.
+has target 0; rows that repeat an id share a hash and so the number of copies; rows without an id are hashed by their
+text; an empty table gives no rows; further columns are kept or ignored, whatever their names. Reruns agree since nothing
+depends on partitioning.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, small_or_shuffled, text_or_empty
+from .common import WORD, materialise, quoted, small_or_shuffled, text_or_empty, whole_row
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -47,12 +48,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     return run.withColumn("free", free).select("skey", "source_size", target.alias("target"))
 
 
+def source_key(source_col: str) -> Column:
+    """The source as a key without nulls."""
+    return F.coalesce(F.concat(F.lit("="), F.col(quoted(source_col))), F.lit("-"))
+
+
+def place(id_col: str, text_col: str) -> Column:
+    """The 60-bit hash by which documents of a source are taken."""
+    named = F.coalesce(F.col(quoted(id_col)).cast("string"), F.concat(F.lit("-"), text_or_empty(F.col(quoted(text_col)))))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """rid, doc_id, source, skey, size, h of each row."""
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
-    skey = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("-"))
-    size = F.regexp_count(text_or_empty(F.col(text_col)), F.lit(WORD)).cast("long")
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), skey.alias("skey"), size.alias("size"), h.alias("h"))
+    """doc_id, source, skey, size, h of each row."""
+    size = F.regexp_count(text_or_empty(F.col(quoted(text_col))), F.lit(WORD)).cast("long")
+    return docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(source_col)).alias("source"), source_key(source_col).alias("skey"), size.alias("size"), place(id_col, text_col).alias("h"))
 
 
 def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -81,17 +91,28 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return found
 
 
+def mix_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """Each source's target and threshold; broadcast up to ``BROADCAST_SOURCES``."""
+    return small_or_shuffled(materialise(thresholds(rows, source_targets(rows, weights, max_repeat)), "mix-plan"), BROADCAST_SOURCES)
+
+
+def _times() -> Column:
+    return F.col("copies") + (F.col("h") < F.col("below")).cast("long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """rid, doc_id, size, source_size, target, times, taken: one row per input row."""
+    """doc_id, size, source_size, target, times, taken: one row per input row."""
     rows = materialise(sized(docs, id_col, text_col, source_col), "mix-sizes")
-    plan = materialise(thresholds(rows, source_targets(rows, weights, max_repeat)), "mix-plan")
-    times = F.col("copies") + (F.col("h") < F.col("below")).cast("long")
-    joined = rows.join(small_or_shuffled(plan, BROADCAST_SOURCES), "skey")
-    return joined.select("rid", "doc_id", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
+    joined = rows.join(mix_plan(rows, weights, max_repeat), "skey")
+    return joined.select("doc_id", "size", "source_size", "target", _times().alias("times"), (F.col("size") * _times()).alias("taken"))
+
 
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it (0 to ``max_repeat`` times).
 
-def mixed_rows(docs: DataFrame, **columns) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (0 to ``max_repeat`` times)."""
-    times = mix(docs, **columns).filter("times > 0").select(F.col("rid").alias("__rid"), F.col("times").alias("__times"))
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id()).join(times, "__rid")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    How often follows from a row's own source and hash, so the texts stay where they are read.
+    """
+    rows = materialise(sized(docs, id_col, text_col, source_col), "mix-sizes")
+    keyed = docs.select(whole_row(docs), source_key(source_col).alias("skey"), place(id_col, text_col).alias("h"))
+    taken = keyed.join(mix_plan(rows, weights, max_repeat), "skey").select("row", _times().alias("times")).filter("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, WORD
+from .common import SPACE_CHARS, WORD, quoted, whole_row
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -74,9 +74,9 @@ def _covered(words: Column, positions: Column) -> Column:
     return F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long")
 
 
-def quality_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the counts that the rules use appended."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def _metrics(text: Column) -> tuple[Column, ...]:
+    """Columns w, l, chars and symbols: the counts that the rules use."""
+    text = F.coalesce(text, F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     stop = list(dict.fromkeys(STOP_WORDS))
 
@@ -91,28 +91,27 @@ def quality_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
 
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
-    return docs.select(
-        "*",
-        _let(words, counts).alias("__w"),
-        _let(lines, line_counts).alias("__l"),
-        F.length(F.translate(text, SPACE_CHARS, "")).cast("long").alias("__chars"),
-        _chars_of(text, SYMBOLS).alias("__symbols"),
+    return (
+        _let(words, counts).alias("w"),
+        _let(lines, line_counts).alias("l"),
+        F.length(F.translate(text, SPACE_CHARS, "")).cast("long").alias("chars"),
+        _chars_of(text, SYMBOLS).alias("symbols"),
     )
 
 
 def quality(docs: DataFrame, text_col: str = "text", rules: tuple = RULES) -> DataFrame:
-    """``docs`` with ``__q`` (struct of all counts), ``__base_failed`` and ``__kept`` appended."""
+    """row (all columns of ``docs`` as a struct), q (struct of all counts), base_failed, kept: one row per row."""
     q = F.struct(
-        F.col("__w.n_words").alias("n_words"),
-        F.col("__chars").alias("word_chars"),
-        F.col("__symbols").alias("n_symbols"),
-        F.col("__l.n_dup_lines").alias("n_dup_lines"),
-        F.col("__w.n_repeat_words").alias("n_repeat_words"),
-        F.col("__w.n_stop_words").alias("n_stop_words"),
-        F.col("__l.n_lines").alias("n_lines"),
+        F.col("w.n_words").alias("n_words"),
+        F.col("chars").alias("word_chars"),
+        F.col("symbols").alias("n_symbols"),
+        F.col("l.n_dup_lines").alias("n_dup_lines"),
+        F.col("w.n_repeat_words").alias("n_repeat_words"),
+        F.col("w.n_stop_words").alias("n_stop_words"),
+        F.col("l.n_lines").alias("n_lines"),
     )
-    scored = quality_metrics(docs, text_col).select(*docs.columns, q.alias("__q"))
-    m = F.col("__q")
+    scored = docs.select(whole_row(docs), *_metrics(F.col(quoted(text_col)))).select("row", q.alias("q"))
+    m = F.col("q")
     failed = (m["n_words"] < MIN_WORDS) | (m["n_repeat_words"] * 100 > m["n_words"] * MAX_REPEAT_PERCENT)
     ok = F.lit(True)
     for top, bottom, low, high in rules:
@@ -120,14 +119,15 @@ def quality(docs: DataFrame, text_col: str = "text", rules: tuple = RULES) -> Da
             ok = ok & (m[top] * 100 >= m[bottom] * low)
         if high is not None:
             ok = ok & (m[top] * 100 <= m[bottom] * high)
-    return scored.withColumn("__base_failed", failed).withColumn("__kept", ~failed & ok)
+    return scored.select("row", "q", failed.alias("base_failed"), (~failed & ok).alias("kept"))
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = quality(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    return rows.select("doc_id", "__q.*", F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    """doc_id, all counts, base_failed, kept: one row per row."""
+    rows = quality(docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text")))
+    return rows.select("row.doc_id", "q.*", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
-    return quality(docs, text_col).filter("__kept").select(*docs.columns)
+    return quality(docs, text_col).filter("kept").select("row.*")

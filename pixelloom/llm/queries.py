@@ -54,7 +54,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("rid")
+    return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_language_id, op4_sentencepiece, op5_mixing, op6_secret_scan, op7_substring_dedup, op8_simhash, op9_url_filter, op10_exact_dedup)}

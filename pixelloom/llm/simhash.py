@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_or_shuffled
+from .common import materialise, one_row_each, quoted, row_key, small_or_shuffled
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -53,15 +53,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, doc_id, fp (the fingerprint as a signed long)."""
+    """key (``row_key``), doc_id, fp (the fingerprint as a signed long)."""
 
     def run(batches):
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["rid", "doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["key", "doc_id", "fp"])
 
-    source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"rid long, doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
+    source = docs.select(row_key(id_col, text_col).alias("key"), F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
+    return source.mapInArrow(run, f"key binary, doc_id {source.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def vantage_points(n: int) -> list[int]:
@@ -202,20 +202,32 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, levels: int | None =
     return tasks.groupBy("cell", "i", "j").applyInPandas(lambda pdf: cell_links(pdf, radius, inner), "u long, v long")
 
 
+def _named(rows: DataFrame, radius: int) -> DataFrame:
+    """fp, component_id, root for each distinct fingerprint of written ``rows``.
+
+    A class of equal fingerprints is the node (no id, least id, fp), so a component's least node holds its id; nodes without
+    any id come last.
+    """
+    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.struct(F.col("least").isNull().alias("void"), "least", "fp").alias("node")), "classes")
+    links = fingerprint_links(classes.select("fp"), radius)
+    for end in ("u", "v"):
+        links = links.join(classes.select(F.col("fp").alias(end), F.col("node").alias(f"node_{end}")), end)
+    roots = materialise(components(links.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))), "roots")
+    roots = roots.select(F.col("node.fp").alias("fp"), "root")
+    named = classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    return named.select("fp", F.col("root.least").alias("component_id"), F.col("root.fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """rid, doc_id, fingerprint (16 hex digits), component_id: one row per input row."""
+    """doc_id, fingerprint (16 hex digits), component_id: one row per input row."""
     rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = materialise(components(fingerprint_links(classes.select("fp"), radius)), "roots").withColumnRenamed("node", "fp")
-    rooted = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    found = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(rooted.join(found, "root").select("fp", "component_id"), "components")
-    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(named, "fp").select("rid", "doc_id", digits.alias("fingerprint"), "component_id")
+    named = materialise(_named(rows, radius), "components")
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's; of rows that repeat that id one stays."""
-    found = near_duplicates(docs, id_col, text_col, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("void")).agg(F.min("rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(kept.select("__rid"), "__rid", "left_semi").select(*docs.columns)
+    """The row of ``docs`` whose id is its component's; of rows that repeat that id (or have none in a component without ids) one stays."""
+    rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+    found = rows.join(materialise(_named(rows, radius), "components"), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = materialise(found.groupBy("root").agg(F.min("key").alias("key")).select("key"), "kept")
+    return one_row_each(docs, kept, rows, id_col, text_col)
