@@ -1,30 +1,36 @@
 """Substring deduplication: repeated 20-word windows, by a log-structured index of window fingerprints.
 
 Every window is represented by its least 5-word hash ``m`` (equal windows have equal ``m``). Consecutive windows with one
-``m`` form a block, identified by ``(m, b)`` with ``b`` a hash of all its words: 128 bits in all. The index holds
-each distinct block once, at its first place, in immutable runs sorted by ``(m, b)``. A batch's blocks are combined
-map-side, merged with the runs, and what is new is written as the next run; runs are compacted into one when there
-are many. A block seen earlier repeats in full. Where an ``m`` occurs in several different blocks, only then
-the windows of those first blocks are hashed one by one, told apart by two 64-bit hashes, and the first place of each is
-kept. Hashes are not checked against words. Repeated windows cost one row a distinct block and task, so no copy group is gathered anywhere.
-
-Defined results: a null or empty text has no words; fewer than 20 words are never removed; rows that repeat an id are
-told apart by their place in the table and the later one loses; a null id sorts last; an empty table gives no
-rows; further columns are ignored, whatever their names.
+``m`` form a block, known by ``m`` and a 128-bit digest (``b``, ``d``) of its words' bytes. The index holds each distinct block
+once, at its first place, in immutable runs: tables bucketed and sorted by that key, so that a batch, combined map-side and shuffled
+once as small rows, is merge-joined with every run without moving or sorting any run again; what is new is the next run. When there
+are more than ``MAX_RUNS`` runs they are merged into one, bucket by bucket, and the old ones removed.
+
+A block that the index has at another place repeats in full: that match rests on the digest of the bytes, which is independent of
+the word hashes that found it. Where an ``m`` occurs in several different blocks, the windows of those first blocks are told
+apart one by one, by 128-bit digests of their bytes, and the first place of each is kept. Texts are shuffled once, at the end, for
+all batches together, beside a list of places a document. Repeated windows cost one row a distinct block and task, so no copy group
+is gathered anywhere.
+
+Defined results: a null or empty text has no words; fewer than 20 words are never removed; a null id sorts last; rows that
+repeat an id are put in some order, the same throughout a call, and the later one loses; an empty table gives no rows; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
-from .common import materialise, shared_dir, text_or_empty
+from .common import materialise, quoted, remove, shared_dir, text_or_empty
 
 WINDOW, GRAM = 20, 5
 SPAN = WINDOW - GRAM + 1
@@ -32,9 +38,11 @@ SPAN = WINDOW - GRAM + 1
 KEY_BITS, START_BITS = 33, 30
 #: The filter of values that need a second look: 8 MB; used up to this many values, beyond it they are joined.
 FILTER_BITS, FILTER_VALUES = 26, 4_000_000
-MAX_RUNS = 4
-#: Ranges of the id that a whole table is taken in by.
-BATCHES = 2
+MAX_RUNS = 3
+#: Ranges of the id that a whole table is taken in by: one more than the runs that stay apart, so a table passes a compaction.
+BATCHES = 4
+#: Spark's own bound on buckets of a table.
+MAX_BUCKETS = 100_000
 #: Documents are worked on together up to this many bytes.
 CHUNK_BYTES = 1 << 17
 
@@ -113,11 +121,14 @@ class Chunk:
     """
 
     def __init__(self, docs: list[bytes]) -> None:
-        blob = b" ".join(docs) + b" "
+        docs = [b" ".join(d.split()) for d in docs]
+        self.blob = b" ".join(docs) + b" "
         begins = np.cumsum([0] + [len(d) + 1 for d in docs])
-        at, self.w = word_hashes(blob)
-        self.first = np.searchsorted(at, begins)
+        self.at, self.w = word_hashes(self.blob)
+        self.first = np.searchsorted(self.at, begins)
         n = np.diff(self.first)
+        self.end = np.append(self.at[1:], len(self.blob)) - 1  # of each word; a document's last word ends with it
+        self.end[self.first[1:][n > 0] - 1] = (begins[1:] - 1)[n > 0]
         g = gram_hashes(self.w, GRAM)
         low, k = g, 1
         while k * 2 <= SPAN:
@@ -146,9 +157,15 @@ class Chunk:
         most = np.maximum.reduceat(seen, self.start) if len(self.start) else np.zeros(0, np.uint8)
         self.own = (most > 1) | (self.stop - self.start > SPAN)
 
+    def digests(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit digest, as two longs, of the bytes of the windows from each ``start`` up to ``stop``; words are one space apart."""
+        blob, spans = self.blob, zip(self.at[start].tolist(), self.end[stop + WINDOW - 2].tolist())
+        both = np.frombuffer(b"".join([xxh3_128_digest(blob[a:b]) for a, b in spans]), np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
     def hashes(self) -> np.ndarray:
-        """Hash of all words of each block."""
-        return _spans_hash(_mix(self.w ^ np.uint64(0xA5A5A5A5)), self.start, self.stop + WINDOW - 1)
+        """The first half of each block's digest."""
+        return self.digests(self.start, self.stop)[0]
 
     def places(self, lists: list) -> np.ndarray:
         """Windows named by each document's list of starts."""
@@ -198,7 +215,7 @@ def _emit_blocks(batches):
         keys = batch.column(0).to_numpy()
         for rows, texts in _chunks(batch, 1):
             c = Chunk(texts)
-            yield pa.RecordBatch.from_arrays([_longs(x) for x in (c.m, c.hashes(), keys[rows][c.doc], c.start - c.first[c.doc])], ["m", "b", "key", "start"])
+            yield pa.RecordBatch.from_arrays([_longs(x) for x in (c.m, *c.digests(c.start, c.stop), keys[rows][c.doc], c.start - c.first[c.doc])], ["m", "b", "d", "key", "start"])
 
 
 def _in_filter(bits: np.ndarray | None, m: np.ndarray) -> np.ndarray:
@@ -221,7 +238,7 @@ def _emit_windows(bits):
                 at = np.flatnonzero(c.spread(look))
                 of = np.searchsorted(c.start, at, "right") - 1
                 doc = c.doc[of]
-                yield pa.RecordBatch.from_arrays([_longs(x) for x in (gram_hashes(c.w, WINDOW)[at], c.m[of], keys[rows][doc], at - c.first[doc])], ["h", "m", "key", "start"])
+                yield pa.RecordBatch.from_arrays([_longs(x) for x in (*c.digests(at, at + 1), keys[rows][doc], at - c.first[doc])], ["b", "d", "key", "start"])
 
     return run
 
@@ -243,100 +260,131 @@ def _emit_result(bits, with_text: bool):
             for rows, texts in _chunks(batch, 1):
                 c = Chunk(texts)
                 stay = _stay(c, *(batch.column(k)[rows.start : rows.stop].to_pylist() for k in (2, 3)), bits.value if bits else None)
-                for text, low, high in zip(texts, c.first.tolist(), c.first[1:].tolist()):
-                    words, own = text.split(), stay[low:high]
-                    gone = len(own) - int(np.count_nonzero(own))
-                    if gone:
-                        words = [words[i] for i in np.flatnonzero(own).tolist()]
-                    kept = b" ".join(words)
+                for low, high in zip(c.first.tolist(), c.first[1:].tolist()):
+                    own = stay[low:high]
+                    gone = high - low - int(np.count_nonzero(own))
+                    if gone:  # runs of words that stay
+                        edges = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]]))) + low
+                        kept = b" ".join([c.blob[a:b] for a, b in zip(c.at[edges[0::2]].tolist(), c.end[edges[1::2] - 1].tolist())])
+                    else:
+                        kept = c.blob[c.at[low] : c.end[high - 1]] if high > low else b""
                     n_words.append(high - low)
                     n_removed.append(gone)
                     out.append(kept.decode() if with_text else hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], ["key", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], [batch.schema.names[0], "n_words", "n_removed", "kept"])
 
     return run
 
 
+BLOCK = ["m", "b", "d"]
+
+
 class PassageIndex:
-    """Runs of first places (m, b, key, start), each sorted by (m, b), in the shared folder."""
+    """Runs of first places (m, b, d, key, start), each a table in the shared folder, bucketed and sorted by (m, b, d).
+
+    ``ingest`` takes a batch in and answers for its rows, whose keys are greater than all before. ``add`` only takes it in; ``resolve`` answers
+    for all documents at once.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, max_runs: int = MAX_RUNS) -> None:
         self.spark, self.path, self.max_runs, self.runs = spark, path or f"{shared_dir(spark)}/passages-{uuid.uuid4().hex}", max_runs, []
-
-    def _write(self, blocks: DataFrame) -> None:
-        path = f"{self.path}/run-{uuid.uuid4().hex}"
-        blocks.select("m", "b", "key", "start").sortWithinPartitions("m", "b").write.parquet(path)
-        self.runs.append(path)
-
-    def read(self, paths: list[str] | None = None) -> DataFrame:
-        paths = self.runs if paths is None else paths
-        schema = "m long, b long, key long, start long"
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        self.buckets = min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.compactions = 0
+
+    def _write(self, blocks: DataFrame) -> str:
+        name = f"passages_{uuid.uuid4().hex}"
+        rows = blocks.select(*BLOCK, "key", "start")
+        rows.write.format("parquet").bucketBy(self.buckets, *BLOCK).sortBy(*BLOCK).option("path", f"{self.path}/{name}").saveAsTable(name)
+        return name
+
+    def read(self, runs: list[str] | None = None) -> DataFrame:
+        found = [self.spark.table(r) for r in (self.runs if runs is None else runs)]
+        if not found:
+            return self.spark.createDataFrame([], "m long, b long, d long, key long, start long")
+        return reduce(DataFrame.unionByName, found)
+
+    def drop(self, runs: list[str] | None = None) -> None:
+        """Remove runs (all) with their files."""
+        for r in list(self.runs if runs is None else runs):
+            self.spark.sql(f"DROP TABLE IF EXISTS {r}")
+            remove(self.spark, f"{self.path}/{r}")
+            if r in self.runs:
+                self.runs.remove(r)
 
     def compact(self) -> None:
-        """Merge all runs into one; a block is in one run only, so rows are as before."""
-        old = self.read()
-        self.runs = []
-        self._write(old.repartition("m", "b"))
+        """Merge all runs into one; a block is in one run only, so rows are as before. Buckets meet their like: no shuffle."""
+        old, self.compactions = list(self.runs), self.compactions + 1
+        merged = self._write(self.read().sortWithinPartitions(*BLOCK))
+        self.drop(old)
+        self.runs = [merged]
+
+    def add(self, batch: DataFrame) -> str:
+        """Take (key, text) rows in; the run of what is new."""
+        order = _Order(batch)
+        raw = order.attach(batch.select("key", "text").mapInArrow(_emit_blocks, "m long, b long, d long, key long, start long"))
+        blocks = order.split(raw.groupBy(*BLOCK).agg(F.min("pos").alias("pos")))
+        for r in self.runs:
+            blocks = blocks.join(self.read([r]).select(*BLOCK).hint("merge"), BLOCK, "left_anti")
+        self.runs.append(self._write(blocks))
+        return self.runs[-1]
+
+    def _compact_if_due(self) -> None:
+        if len(self.runs) > self.max_runs:
+            self.compact()
 
     def ingest(self, batch: DataFrame, history: DataFrame | None = None, with_text: bool = False) -> DataFrame:
-        """key, n_words, n_removed, kept of each row of ``batch`` (key, text, and order if keys don't give it).
+        """key, n_words, n_removed, kept of each row of ``batch`` (key, text).
 
-        ``kept`` is the kept text, or its SHA-256. ``history`` (key, text) holds the documents of earlier
-        batches; all their keys are less than the batch's.
+        ``kept`` is the kept text, or its SHA-256. ``history`` (key, text) holds the documents of earlier batches: where a value ``m`` of the batch
+        meets an earlier block with other words, that block's windows are taken from there.
         """
         past = list(self.runs)
+        if past and history is None:
+            raise ValueError("the documents of earlier batches are needed")
+        new = self.read([self.add(batch)])
+        out = self._answer(batch, new, self.read(past) if past else None, history, with_text)
+        if len(self.runs) > self.max_runs:  # the answer reads the runs
+            out = materialise(out, "passages")
+            self.compact()
+        return out
+
+    def resolve(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
+        """key, n_words, n_removed, kept of all documents (key, text) taken in so far, and ``doc_id`` for key if there."""
+        return self._answer(docs, self.read(), None, None, with_text)
+
+    def _answer(self, batch: DataFrame, new: DataFrame, past: DataFrame | None, history: DataFrame | None, with_text: bool) -> DataFrame:
         order = _Order(batch)
-        raw = order.attach(batch.select("key", "text").mapInArrow(_emit_blocks, "m long, b long, key long, start long"), batch)
-        blocks = order.split(raw.groupBy("m", "b").agg(F.min("pos").alias("pos")))
-        if past:
-            blocks = blocks.join(self.read(past).select("m", "b"), ["m", "b"], "left_anti")
-        self._write(blocks)
-        new = self.read(self.runs[-1:])
-        places = new.unionByName(self.read(past).join(new.select("m").distinct(), "m", "left_semi")) if past else new
+        named = "doc_id" if "doc_id" in batch.columns else "key"
+        places = new if past is None else new.unionByName(past.join(new.select("m").distinct(), "m", "left_semi"))
         mixed = materialise(places.groupBy("m").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m"), "mixed")
         bits = None
         if mixed.count() <= FILTER_VALUES:
             bits = self.spark.sparkContext.broadcast(_filter_of(mixed))
-            listed = new
-            if past:
-                listed = listed.unionByName(self.read(past).join(mixed, "m", "left_semi"))
+            listed = new if past is None else new.unionByName(past.join(mixed, "m", "left_semi"))
         else:
             marked = places.join(mixed.withColumn("x", F.lit(True)), "m", "left")
             listed = marked.withColumn("start", F.when(F.col("x"), -1 - F.col("start")).otherwise(F.col("start")))
         lists = listed.groupBy("key").agg(F.collect_list("start").alias("listed"))
-        rows = batch.select("key", "text").join(lists, "key", "left")
-        looked = rows  # the same columns for both uses, and for history, so that one exchange of the texts serves them
-        if past:
-            if history is None:
-                raise ValueError("the documents of earlier batches are needed")
+        rows = batch.select("key", "text", *[c for c in [named] if c != "key"]).join(lists, "key", "left")
+        looked = rows.select("key", "text", "listed")  # the same columns for both uses, so that one exchange of the texts serves them
+        if past is not None:
             looked = looked.unionByName(history.select("key", "text").join(lists, "key"))
-        windows = order.attach(looked.mapInArrow(_emit_windows(bits), "h long, m long, key long, start long"), batch)
-        firsts = order.split(windows.groupBy("h", "m").agg(F.min("pos").alias("pos")))
+        windows = order.attach(looked.mapInArrow(_emit_windows(bits), "b long, d long, key long, start long"))
+        firsts = order.split(windows.groupBy("b", "d").agg(F.min("pos").alias("pos")))
         kept = firsts.groupBy("key").agg(F.collect_list("start").alias("kept"))
-        done = rows.join(kept, "key", "left").select("key", "text", "listed", "kept")
-        out = done.mapInArrow(_emit_result(bits, with_text), "key long, n_words long, n_removed long, kept string")
-        if len(self.runs) > self.max_runs:
-            out = materialise(out, "passages")
-            self.compact()
-        return out
+        done = rows.join(kept, "key", "left").select(named, "text", "listed", "kept")
+        return done.mapInArrow(_emit_result(bits, with_text), f"{named} {batch.schema[named].dataType.simpleString()}, n_words long, n_removed long, kept string")
 
 
 class _Order:
-    """How places are compared: key and start as one long if they fit, else as a struct with the id in front."""
+    """How places are compared: key and start as one long if they fit, else as a struct."""
 
     def __init__(self, batch: DataFrame) -> None:
-        self.by_id = "order" in batch.columns
-        top = 0 if self.by_id else batch.agg(F.max("key"), F.min("key")).first()
-        self.packed = not self.by_id and (top[0] is None or 0 <= top[1] and top[0] < 1 << KEY_BITS)
+        top = batch.agg(F.max("key"), F.min("key")).first()
+        self.packed = top[0] is None or 0 <= top[1] and top[0] < 1 << KEY_BITS
 
-    def attach(self, rows: DataFrame, batch: DataFrame) -> DataFrame:
-        if self.packed:
-            return rows.withColumn("pos", F.shiftleft("key", START_BITS) + F.col("start"))
-        if self.by_id:
-            ids = batch.select("key", "order")
-            return rows.join(ids, "key").withColumn("pos", F.struct(F.col("order").isNull().alias("void"), "order", "key", "start"))
-        return rows.withColumn("pos", F.struct("key", "start"))
+    def attach(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("pos", F.shiftleft("key", START_BITS) + F.col("start") if self.packed else F.struct("key", "start"))
 
     def split(self, rows: DataFrame) -> DataFrame:
         if self.packed:
@@ -357,28 +405,35 @@ def _filter_of(values: DataFrame) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, batches: int = BATCHES) -> DataFrame:
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key, doc_id, text with keys in the order of the ids (any whole number, or text), the missing ones last.
+
+    Unique ids are keys themselves. Otherwise the rows are sorted, numbered and written once, so that every later read finds the
+    same numbers; a random value among equal ids keeps a frequent one from filling a single task.
+    """
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), text_or_empty(F.col(quoted(text_col))).alias("text"))
+    if rows.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        void = F.count(F.when(F.col("doc_id").isNull(), 1)).alias("void")
+        counts = rows.groupBy("doc_id").count().agg(F.max("count").alias("most"), void, F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+        if (counts["most"] or 0) <= 1 and not counts["void"]:
+            low, key = counts["low"] or 0, F.col("doc_id").cast("long")
+            as_it_is = low >= 0 and (counts["high"] or 0) < 1 << KEY_BITS  # then ranges of it reach the scan
+            return rows.select((key if as_it_is else key - F.lit(low).cast("long")).alias("key"), "doc_id", "text")
+    ranged = rows.withColumn("salt", F.rand(7)).orderBy(F.col("doc_id").asc_nulls_last(), "salt")
+    return materialise(ranged.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "numbered")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, batches: int = BATCHES, max_runs: int = MAX_RUNS) -> DataFrame:
     """doc_id, n_words, n_removed, and kept_sha256 or (``with_text``) kept: one row per input row.
 
-    The table is taken in by ``batches`` ranges of the id, each merged with the runs of those before. Where ids
-    repeat or are missing, places are compared with the row's own number too, in one batch.
+    The table is taken in by ``batches`` ranges of the key, each merged with the runs of those before.
     """
-    spark = docs.sparkSession
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    counts = ids.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("void"), F.min("doc_id").alias("low"), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [1.0]).alias("cuts")).first()
-    index, text = PassageIndex(spark), text_or_empty(F.col(text_col)).alias("text")
-    if (counts["most"] or 0) > 1 or counts["void"]:
-        batch = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("order"), text)
-        found = index.ingest(batch, with_text=with_text).join(batch.select("key", F.col("order").alias("doc_id")), "key")
-    else:
-        low_id = F.lit(counts["low"] or 0)
-        rows = docs.select((F.col(id_col).cast("long") - low_id).alias("key"), text)
-        cuts = sorted({c - (counts["low"] or 0) for c in counts["cuts"] or []})[: batches - 1]
-        found = past = None
-        for low, high in zip([None, *cuts], [*cuts, None]):
-            batch = rows.filter(" and ".join(["key is not null"] + [f"key > {low}"] * (low is not None) + [f"key <= {high}"] * (high is not None)))
-            new = index.ingest(batch, past, with_text)
-            found = new if found is None else found.unionByName(new)
-            past = batch if past is None else past.unionByName(batch)
-        found = found.withColumn("doc_id", (F.col("key") + low_id).cast(docs.schema[id_col].dataType))
+    index, rows = PassageIndex(docs.sparkSession, max_runs=max_runs), numbered(docs, id_col, text_col)
+    at = [k / batches for k in range(1, batches)]
+    cuts = sorted(set(rows.agg(F.percentile_approx("key", at).alias("cuts")).first()["cuts"] or [])) if at else []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        batch = rows if low is None else rows.filter(F.col("key") > low)
+        index.add(batch if high is None else batch.filter(F.col("key") <= high))
+        index._compact_if_due()
+    found = index.resolve(rows, with_text)
     return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept" if with_text else "kept_sha256"))

@@ -105,3 +105,44 @@ def test_repeated_and_missing_ids(spark):
 def test_hashes_are_spread():
     g = passages.gram_hashes(np.arange(10_000, dtype=np.uint64), 5)
     assert len(np.unique(g)) == len(g)
+
+
+@pytest.mark.parametrize("awkward", [False, True])
+def test_many_batches_and_a_compaction_against_brute_force(spark, monkeypatch, awkward):
+    """Seven ranges, runs merged whenever there are more than two; once with an id that repeats, which takes the same path."""
+    seen = []
+    compact = PassageIndex.compact
+    monkeypatch.setattr(PassageIndex, "compact", lambda self: (compact(self), seen.append(len(self.runs))))
+    rows = list(enumerate(texts(11, 150)))
+    want = plain(rows)
+    if awkward:
+        rows.append((len(rows) - 1, " ".join(f"only{i}" for i in range(30))))
+        want[len(rows) - 1] = (30, 0, rows[-1][1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = remove_repeats(docs, with_text=True, batches=7, max_runs=2).collect()
+    got = sorted((r["n_words"], r["n_removed"], r["kept"]) for r in found)
+    assert got == sorted(want.values()) and len(seen) >= 2 and set(seen) == {1}
+    if not awkward:
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in found} == want
+
+
+def test_a_compacted_run_has_every_block_once_in_order(spark):
+    index = PassageIndex(spark, max_runs=9)
+    docs = spark.createDataFrame([(i, t or "") for i, t in enumerate(texts(3, 60))], "key long, text string")
+    for low in (0, 20, 40):
+        index.add(docs.filter(f"key >= {low} and key < {low + 20}"))
+    before = sorted(index.read().collect())
+    assert len({r[:3] for r in before}) == len(before)
+    index.compact()
+    assert len(index.runs) == 1 and sorted(index.read().collect()) == before
+    plan = index.read().join(index.read().select("m", "b", "d").hint("merge"), ["m", "b", "d"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    index.drop()
+    assert not index.runs
+
+
+def test_blocks_are_known_by_their_bytes(monkeypatch):
+    """With word hashes that collide, blocks of other words still differ."""
+    monkeypatch.setattr(passages, "word_hashes", lambda blob: (word_hashes(blob)[0], np.ones(len(word_hashes(blob)[0]), np.uint64)))
+    c = Chunk([b" ".join(b"a%d" % i for i in range(30)), b" ".join(b"b%d" % i for i in range(30)), b"", b" ".join(b"a%d" % i for i in range(30))])
+    assert len(set(c.m.tolist())) == 1 and c.hashes()[0] == c.hashes()[2] != c.hashes()[1]
