@@ -365,10 +365,11 @@ class PassageIndex:
             marked = places.join(mixed.withColumn("x", F.lit(True)), "m", "left")
             listed = marked.withColumn("start", F.when(F.col("x"), -1 - F.col("start")).otherwise(F.col("start")))
         lists = listed.groupBy("key").agg(F.collect_list("start").alias("listed"))
-        rows = batch.select("key", "text", *[c for c in [named] if c != "key"]).join(lists, "key", "left")
-        looked = rows.select("key", "text", "listed")  # the same columns for both uses, so that one exchange of the texts serves them
+        more = [c for c in [named] if c != "key"]
+        rows = batch.select("key", "text", *more).join(lists, "key", "left").select("key", "text", "listed", *more)
+        looked = rows  # with the same columns for both uses, so that one exchange of the texts serves them
         if past is not None:
-            looked = looked.unionByName(history.select("key", "text").join(lists, "key"))
+            looked = looked.unionByName(history.select("key", "text").join(lists, "key"), allowMissingColumns=True)
         windows = order.attach(looked.mapInArrow(_emit_windows(bits), "b long, d long, key long, start long"))
         firsts = order.split(windows.groupBy("b", "d").agg(F.min("pos").alias("pos")))
         kept = firsts.groupBy("key").agg(F.collect_list("start").alias("kept"))
