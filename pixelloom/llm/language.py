@@ -25,6 +25,8 @@ BINS = 1 << 12
 SAMPLE = 400
 SHARES = 20
 EPOCHS, REGULAR = 40, 1e-4
+#: Bytes of a long text that are worked on at once.
+SLICE = 1 << 20
 
 # Language families of ISO 639-1 codes.
 FAMILIES = {
@@ -51,11 +53,11 @@ def features(text: str) -> np.ndarray:
     """Unit vector of hashed byte n-grams of the whole text."""
     raw = np.frombuffer(text.lower().encode(), np.uint8).astype(np.uint32)
     counts = np.zeros(BINS, np.float64)
-    for at in range(0, len(raw), 1 << 20):
-        b = raw[at : at + (1 << 20) + 2]
+    for at in range(0, len(raw), SLICE):  # n-grams that begin in the slice
+        b = raw[at : at + SLICE + 2]
         tri = ((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) * np.uint32(2654435761)
-        two = ((b[:-1] << 8) | b[1:]) * np.uint32(2246822519)
-        for code in (tri, two, b * np.uint32(3266489917)):
+        two = ((b[:-1] << 8) | b[1:])[:SLICE] * np.uint32(2246822519)
+        for code in (tri, two, b[:SLICE] * np.uint32(3266489917)):
             counts += np.bincount(code >> np.uint32(20), minlength=BINS)
     v = np.sqrt(counts)
     return (v / max(np.linalg.norm(v), 1e-12)).astype(np.float32)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .html_blocks import Block, attribute_words, leaf_blocks
+from .html_blocks import Block, Element, attribute_words, leaf_blocks
 
 PAGES, EPOCHS, BATCH, DECAY = 900, 12, 48, 1e-4
 
@@ -43,18 +43,46 @@ HINT_OF = {w: g for g in reversed(HINTS) for w in HINTS[g].split()}
 PHRASES = ("cookie", "subscribe", "newsletter", "advert", "sponsored", "comment", "reply", "log in", "sign in", "sign up", "all rights reserved", "privacy", "share this", "read more", "©", "copyright", "menu", "search", "posted by")
 
 
-@lru_cache(maxsize=50_000)
-def path_features(path: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
-    found = {f"tag={path[-1][0] if path else '-'}"}
-    near = None
-    for tag, attributes in reversed(path):
-        if tag not in ("html", "body", "div", "section"):
-            found.add(f"in={tag}")
+class _Seen:
+    """What the open elements say from an element outwards; an element that adds nothing shares its parent's set."""
+
+    __slots__ = ("inside", "near", "names")
+
+    def __init__(self, element: Element, above: "_Seen | None") -> None:
+        tag, attributes = element.tag, element.attributes
+        inside, near = (above.inside, above.near) if above else (frozenset(), ("near=-",))
         groups = {HINT_OF[w] for w in attribute_words(attributes) if w in HINT_OF} if attributes else set()
-        found |= {f"hint={g}" for g in groups}
-        if near is None and (groups or tag in ("article", "main", "nav", "aside", "footer", "header", "form")):
-            near = [*(f"near={g}" for g in groups), f"near={tag}"]
-    return tuple(sorted(found | set(near or ["near=-"])))
+        own = {f"hint={g}" for g in groups}
+        if tag not in ("html", "body", "div", "section"):
+            own.add(f"in={tag}")
+        if not own <= inside:
+            inside = inside | own
+        if groups or tag in ("article", "main", "nav", "aside", "footer", "header", "form"):
+            near = (*sorted(f"near={g}" for g in groups), f"near={tag}")
+        self.inside, self.near = inside, near
+        self.names = _names(tag, inside, near)
+
+
+@lru_cache(maxsize=10_000)
+def _names(tag: str, inside: frozenset, near: tuple) -> tuple[str, ...]:
+    return tuple(sorted({f"tag={tag}", *inside, *near}))
+
+
+_NOWHERE = ("near=-", "tag=-")
+
+
+def path_features(element: Element | tuple) -> tuple[str, ...]:
+    """Features of all elements around a block; each element's are worked out once."""
+    if not element:
+        return _NOWHERE
+    todo = []
+    while element is not None and element.features is None:
+        todo.append(element)
+        element = element.parent
+    found = element.features if element is not None else None
+    for e in reversed(todo):
+        found = e.features = _Seen(e, found)
+    return found.names
 
 
 def text_features(block: Block) -> list[str]:
@@ -74,8 +102,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
     """Features of each block; neighbours count through the chain."""
     out, titled = [], False
     for b in blocks:
-        tag = b.path[-1][0] if b.path else "-"
-        titled = titled or tag == "h1"
+        titled = titled or bool(b.path) and b.path.tag == "h1"
         out.append([*path_features(b.path), *text_features(b), "titled" if titled else "untitled"])
     return out
 
@@ -90,14 +117,19 @@ class Chain:
         self.start = np.zeros(2)
 
     def emissions(self, rows: list[list[str]]) -> np.ndarray:
-        get = self.index.get
-        return np.array([self.w[[k for f in row if (k := get(f)) is not None]].sum(axis=0) for row in rows]).reshape(-1, 2)
+        get, w = self.index.get, self.w.tolist()
+        out = np.zeros((len(rows), 2))
+        for i, row in enumerate(rows):
+            known = [w[k] for f in row if (k := get(f)) is not None]
+            out[i] = sum(a for a, _ in known), sum(b for _, b in known)
+        return out
 
     def decode(self, rows: list[list[str]]) -> list[int]:
         """Viterbi."""
         if not rows:
             return []
-        e, (a00, a01), (a10, a11) = self.emissions(rows).tolist(), *self.step.tolist()
+        (a00, a01), (a10, a11) = self.step.tolist()
+        e = self.emissions(rows).tolist()
         v0, v1, back = self.start[0] + e[0][0], self.start[1] + e[0][1], []
         for e0, e1 in e[1:]:
             x0, x1, y0, y1 = v0 + a00, v1 + a10, v0 + a01, v1 + a11

@@ -81,3 +81,60 @@ def test_query_columns(spark, library):
     assert encoding_digests(docs.limit(0), default_model()).count() == 0
     full = encode_documents(docs, default_model()).filter("doc_id = 7").first()
     assert full["decoded"] == library.decode(full["ids"]) and len(full["ids"]) == len(full["starts"]) == len(full["ends"])
+
+
+def test_merging_equals_the_library(library):
+    """Words, runs of marks, long words without any space, what no piece covers; with ties everywhere."""
+    model, rng = load(default_model()), random.Random(8)
+    assert model.merges
+    for n in (1, 2, 5, 30, 400):
+        for _ in range(150 if n < 30 else 12):
+            t = "".join(rng.choice(["a", "aa", "th", "e", "▁", "é", "语", "\u0001", "🙂", "0", "z"]) for _ in range(n))
+            assert model.merged("▁" + t) == library.encode(t), t
+    for t in ("ab" * 20000, "the\nword\n\n" * 3000, "x\n▁ y" * 4000, "日本語\n" * 200):
+        assert model.merged_word(t) == library.encode(t)
+
+
+def test_words_merged_together_equal_the_library(library):
+    model, rng = PieceModel(default_model()), random.Random(9)
+    words = ["", " ", "  x", "a" * 63, "a" * 64, "🙂a", "\n"] + ["".join(rng.choice(["a", "aa", "th", "e", "é", "语", ".", "0", "z", "ing"]) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    found = model.together.merge([w for w in words if len(w) < 64])
+    assert len(found) > 2500 and all(list(ids) == library.encode(w) for w, ids in found.items() if w)
+    texts = [" ".join(rng.sample(words, 8)) for _ in range(200)] + [None, ""]
+    model.learn(texts)
+    assert all(model.ids(t) == library.encode(t) for t in texts if t)
+
+
+def _varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _field(number, value):
+    return _varint(number << 3 | 2) + _varint(len(value)) + value if isinstance(value, bytes) else _varint(number << 3) + _varint(value)
+
+
+def test_a_model_with_a_character_map_equals_the_library():
+    """The pieces of the model under a normaliser with the library's own compiled map: ids, and spans where the library gives them."""
+    from pixelloom.llm.pieces import _fields
+
+    spec = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    charsmap = dict(_fields(dict(_fields(spec))[3]))[2]
+    assert len(charsmap) > 1000
+    for dummy, trim in ((1, 1), (1, 0), (0, 1)):
+        settings = _field(1, b"made") + _field(2, charsmap) + _field(3, dummy) + _field(4, trim) + _field(5, 1)
+        proto = b"".join(_field(n, settings if n == 3 else v) for n, v in _fields(default_model()) if not isinstance(v, int))
+        made, model = sentencepiece.SentencePieceProcessor(model_proto=proto), PieceModel(proto)
+        assert model.map.units and not model.by_word and model.merges
+        rng = random.Random(dummy + 2 * trim)
+        parts = ["a", " ", "  ", "ﬁ", "①", "Ａ", "ｶﾞ", "e\u0301", "\u200b", "\t", "é", "🙂", "the ", "½", "\u3000", "▁", "한"]
+        for t in ["", " ", "ﬁne  day ", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 15))) for _ in range(300))]:
+            ids, starts, ends = model.encode(t)
+            assert ids[1:-1] == made.encode(t), t
+            source, want = t.encode(), made.encode(t, return_type="proto").pieces
+            assert all(0 <= a <= b <= len(source) for a, b in zip(starts, ends)) and list(starts) == sorted(starts)
+            whole = [(p, a, b) for p, a, b in zip(want, starts[1:-1], ends[1:-1]) if not p.piece.startswith("<0x")]
+            assert [p.begin for p, _, _ in whole] == [a for _, a, _ in whole], t
+            assert [p.surface for p, _, _ in whole[:-1]] == [source[a:b].decode() for _, a, b in whole[:-1]], t  # trailing space is the last one's
