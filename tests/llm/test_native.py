@@ -186,3 +186,78 @@ def test_documents_without_id_are_mixed_by_their_text(spark):
     got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
     by = got.groupby("source_size").agg({"taken": "sum", "target": "first"})
     assert ((by.taken - by.target).abs() <= 3).all()
+
+
+def plain_verdicts(urls, rules, words):
+    """The template tree by recursion over all levels of every host, without any short cut."""
+    import re
+
+    from pixelloom.llm.url_filter import PRIOR, PRIOR_N, REJECT_AT, Z
+
+    def general(x):
+        return re.sub("^[0-9]+", "{n}", x) if re.fullmatch(r"[0-9]+(\.[A-Za-z0-9]+)?", x) else "{x}" if re.fullmatch("[0-9a-fA-F-]{8,}", x) else x
+
+    pages, verdicts = {}, {}
+    for i, url in enumerate(urls):
+        host, _, path = url.split("://", 1)[1].partition("/")
+        path = "/" + path if _ else ""
+        fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+        rule = max(fits, key=lambda r: len(r[0] + r[1]))[2] if fits else None
+        label = rule or ("block" if any(w in re.split("[.-]", host) for w in words) else None)
+        verdicts[i] = rule
+        pages.setdefault(host, []).append((i, [general(x) for x in path.split("/") if x], label))
+
+    def counts(rows):
+        return sum(r[2] is not None for r in rows), sum(r[2] == "block" for r in rows)
+
+    def judge(rows, level):
+        n, b = counts(rows)
+        if level > max(len(r[1]) for r in rows):
+            for i, _, _ in rows:
+                verdicts[i] = verdicts[i] or ("block" if (b + PRIOR * PRIOR_N) / (n + PRIOR_N) >= REJECT_AT else "allow")
+            return
+        branches, merged = {}, {}
+        for r in rows:
+            branches.setdefault(r[1][level] if level < len(r[1]) else "", []).append(r)
+        for name, own in branches.items():
+            k, c = counts(own)
+            rate = b / n if n else 0
+            alike = k > 0 and abs(c / k - rate) <= Z * (rate * (1 - rate) / k) ** 0.5
+            merged.setdefault("*" if alike else "/" + name, []).extend(own)
+        for own in merged.values():
+            judge(own, level + 1)
+
+    for rows in pages.values():
+        judge(rows, 0)
+    return verdicts
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_the_tree_against_a_plain_one(spark, seed):
+    """Deep paths, wide levels, rules deep inside, hosts that are marked as a whole."""
+    from pixelloom.llm.url_filter import BLOCK_WORDS
+
+    rng = random.Random(seed)
+    rules = (("bad.com", "/a/b/", "block"), ("mix.org", "/x/", "allow"), ("mix.org", "/x/y/z", "block"), ("spam.mix.org", "/a/", "allow"), ("net", "/", "block"), ("deep.com", "/d/d/d/d/d/e", "block"))
+    urls = []
+    for _ in range(700):
+        host = rng.choice(["bad.com", "www.bad.com", "mix.org", "spam.mix.org", "one.net", "casino-x.com", "clean.com", "deep.com"])
+        parts = [rng.choice(["a", "b", "x", "y", "z", "d", "e", str(rng.randint(0, 99)), "deadbeef01", f"s{rng.randint(0, 300)}"]) for _ in range(rng.randint(0, 5))]
+        if host == "deep.com":
+            parts = ["d"] * rng.randint(3, 6) + rng.choice([["e"], ["e1"], ["f"], ["e", "k"], []])
+        urls.append(f"http://{host}" + rng.choice(["/", ""] if not parts else ["/"]) + "/".join(parts))
+    want = plain_verdicts(urls, rules, BLOCK_WORDS)
+    docs = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(5)
+    got = {r["page_id"]: r["verdict"] for r in judge_urls(docs, rules=rules).collect()}
+    assert got == want and {"block", "allow"} == set(want.values())
+
+
+def test_many_branches_are_not_condemned_by_one(spark):
+    """A ruled directory is no evidence about its siblings, at 4 or at 400 of them; paths that differ from the third segment on are told apart."""
+    rows = [f"http://{h}.example.com/de/{i}" for h in ("few", "many") for i in range(20)]
+    rows += [f"http://few.example.com/s{i % 4}/{i}" for i in range(40)] + [f"http://many.example.com/s{i}/{i}" for i in range(400)]
+    got = judge_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()
+    assert all((r["verdict"] == "block") == ("/de/" in r["path"]) for r in got)
+    deep = [f"http://h.com/a/b/{'bad' if i % 2 else 'good'}/{i}" for i in range(60)] + [f"http://h.com/a/b/bad{i}" for i in range(5)] + ["http://h.com/a/b/bad"] * 2
+    got = judge_urls(spark.createDataFrame(list(enumerate(deep)), "page_id long, url string"), rules=(("h.com", "/a/b/bad/", "block"),)).collect()
+    assert all(r["verdict"] == ("block" if r["path"].startswith("/a/b/bad/") else "block" if r["path"] == "/a/b/bad" else "allow") for r in got)
