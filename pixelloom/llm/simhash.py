@@ -1,12 +1,12 @@
 """SimHash near-duplicates: fingerprints linked by vantage-point partitioning.
 
-Equal fingerprints are one class first. Distinct fingerprints are partitioned by their Hamming distances to a few
-vantage points (the upper levels of a vantage-point tree whose nodes of a level share their point): a cell is a tuple
-of distances. By the triangle bound a pair within ``RADIUS`` differs by at most ``RADIUS`` in every coordinate, and since
-a flipped bit changes each distance by one, all coordinates differ by the same parity; so each fingerprint visits only the
-cells inside these bounds, and of each pair of cells only one direction. Inside a cell further vantage
-points prune the same way until a block is small, which is compared exactly. Each cell returns a spanning
-forest of its links, never all pairs, and components are found over those.
+Equal fingerprints are one class first. Distinct fingerprints are partitioned by a vantage-point tree: a node's point is the one of
+a bounded sample of the node's fingerprints whose distances spread most, and its branches are the shells of equal Hamming distance to
+it, so a shard is a path of distances. By the triangle bound a pair within ``RADIUS`` differs by at most ``RADIUS`` at each node that
+both pass, and since a flipped bit changes each distance by one, by the same parity everywhere; so each fingerprint also visits, as
+a guest, only the shards inside these bounds, and of each pair of shards only one direction. Inside a shard further vantage points
+prune the same way until a block is small, which is compared exactly. Each shard returns a spanning forest of its links, never all
+pairs, and components are found over those. The sample only shapes the tree: every fingerprint is in it.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero; with fewer than 4 words the whole
 sequence is one shingle; a null id is never a component id unless a component has no other; rows that repeat share
@@ -76,6 +76,52 @@ def vantage_points(n: int) -> list[int]:
     return out
 
 
+#: Fingerprints that the tree is shaped by, and how many of a node's are tried as its point.
+SAMPLE, TRIED = 16_384, 24
+SHELLS = 65
+
+
+class Tree:
+    """Vantage points of the upper levels: one at the root, one for each shell of it, and from there on one for each pair of a root's shell and the last shell."""
+
+    def __init__(self, sample: list[int], levels: int) -> None:
+        self.levels, spare = levels, vantage_points(levels)
+        values = np.array(sorted(sample), np.int64).view(np.uint64)
+        groups, self.points = {0: values}, []
+        for level in range(levels):
+            size = (1, SHELLS, SHELLS * SHELLS)[min(level, 2)]
+            own, below = [spare[level]] * size, {}
+            for node, inside in groups.items():
+                own[node] = self._chosen(inside, spare[level])
+                far = np.bitwise_count(inside ^ np.uint64(own[node])).astype(np.int64)
+                first = far if level == 0 else np.full(len(far), node if level == 1 else node // SHELLS)
+                for key in np.unique(first * SHELLS + far if level else far).tolist():
+                    at = (first * SHELLS + far if level else far) == key
+                    below[key] = np.concatenate([below[key], inside[at]]) if key in below else inside[at]
+            self.points.append(own)
+            groups = below
+
+    @staticmethod
+    def _chosen(inside: np.ndarray, spare: int) -> int:
+        """The point of up to ``TRIED`` evenly spaced ones whose distances to the others vary most; a fixed one for a node without a sample."""
+        if len(inside) < 2:
+            return int(inside[0]) if len(inside) else spare
+        tried = inside[np.unique(np.linspace(0, len(inside) - 1, TRIED).astype(int))]
+        spread = np.bitwise_count(tried[:, None] ^ inside[None, :]).astype(np.float64).std(axis=1)
+        return int(tried[int(spread.argmax())])
+
+    def distance(self, fp, shells: list):
+        """Distance of a fingerprint to the point of the node that the shells so far lead to."""
+        level = len(shells)
+        table = [p - (1 << 64) if p >> 63 else p for p in self.points[level]]
+        if level == 0:
+            point = F.lit(table[0])
+        else:
+            node = shells[0] if level == 1 else shells[0] * SHELLS + shells[-1]
+            point = F.get(F.expr(f"array({', '.join(f'{p}L' if p != -(1 << 63) else 'cast(-9223372036854775808 as bigint)' for p in table)})"), node)
+        return F.bit_count(fp.bitwiseXOR(point)).cast("int")
+
+
 def visits(levels: int, radius: int) -> list[tuple[int, ...]]:
     """Differences of distance tuples that a pair within ``radius`` can have, of each opposite two only the greater."""
     found = [()]
@@ -154,15 +200,21 @@ def cell_links(cell: pd.DataFrame, radius: int, points: list[int]) -> pd.DataFra
     return pd.DataFrame({"u": signed[links[:, 0]], "v": signed[links[:, 1]]})
 
 
-def visiting_rows(fps: DataFrame, radius: int, points: list[int]) -> DataFrame:
-    """cell, fp, home: every fingerprint in its own cell, and as a guest in those that the bounds leave."""
-    cell = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p - (1 << 64) if p >> 63 else p))).cast("int") for p in points])
-    home = fps.select("fp", cell.alias("cell"))
-    steps = F.array(*[F.array(*[F.lit(d) for d in t]) for t in visits(len(points), radius)])
-    guest = home.select("fp", "cell", F.explode(steps).alias("step")).select("fp", F.zip_with("cell", "step", lambda a, b: a + b).alias("cell"))
-    guest = guest.filter(F.forall("cell", lambda x: (x >= 0) & (x <= 64)))
-    rows = home.withColumn("home", F.lit(True)).unionByName(guest.withColumn("home", F.lit(False)))
-    return rows.select(F.aggregate("cell", F.lit(0).cast("long"), lambda a, x: a * 65 + x).alias("cell"), "fp", "home")
+def visiting_rows(fps: DataFrame, radius: int, tree: Tree) -> DataFrame:
+    """cell, fp, home: every fingerprint in its own shard, and as a guest in those that the bounds leave."""
+    steps = visits(tree.levels, radius)
+    home = F.struct(F.array(*[F.lit(0)] * tree.levels).alias("step"), F.lit(True).alias("home"))
+    guests = F.array(*[F.struct(F.array(*[F.lit(d) for d in t]).alias("step"), F.lit(False).alias("home")) for t in steps])
+    rows = fps.select("fp", F.explode(F.concat(F.array(home), guests)).alias("t")).select("fp", "t.*")
+    names = []
+    for level in range(tree.levels):  # a guest's next distance is to the point of the node it visits
+        rows = rows.withColumn(f"s{level}", tree.distance(F.col("fp"), [F.col(n) for n in names]) + F.get("step", F.lit(level)))
+        rows = rows.filter(F.col(f"s{level}").between(0, 64))
+        names.append(f"s{level}")
+    cell = F.lit(0).cast("long")
+    for n in names:
+        cell = cell * SHELLS + F.col(n)
+    return rows.select(cell.alias("cell"), "fp", "home")
 
 
 def split_cells(rows: DataFrame, homes: int = HOME_ROWS, guests: int = GUEST_ROWS) -> DataFrame:
@@ -196,9 +248,9 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, levels: int | None =
         n, levels = fps.count(), 2
         while n > LEVEL_STEP * 64 ** (levels - 2):
             levels += 1
-    points = vantage_points(levels + 12)
-    inner = points[levels:]
-    tasks = split_cells(visiting_rows(fps, radius, points[:levels]), homes, guests)
+    sample = fps.select("fp", F.xxhash64("fp").alias("h")).orderBy("h").limit(SAMPLE).collect()  # by hash, so that reruns agree
+    tree, inner = Tree([r["fp"] for r in sample], levels), vantage_points(levels + 12)[levels:]
+    tasks = split_cells(visiting_rows(fps, radius, tree), homes, guests)
     return tasks.groupBy("cell", "i", "j").applyInPandas(lambda pdf: cell_links(pdf, radius, inner), "u long, v long")
 
 
