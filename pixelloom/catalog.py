@@ -15,6 +15,7 @@ from .functions import metadata as md
 from .operators import geometry, palettes, prediction
 from .plans import formats
 from .plans.planner import Settings, Shape, plan
+from .plans.writing import plan_write
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -148,7 +149,6 @@ _pixels("shift_read", {"r": lambda: k.shift_down(col("r"), 8, 5), "g": lambda: k
 _pixels("shift_write", {"s5": lambda: k.shift_up(col("v") % 32, 8, 5), "s3": lambda: k.shift_up(col("v") % 8, 8, 3), "s1": lambda: k.shift_up(col("v") % 2, 8, 1), "w11": lambda: k.shift_up(col("v16") % 2048, 16, 11)},
         {"s5": "v % 32 * 8 + v % 32 // 4", "s3": "v % 8 * 32 + v % 8 * 4 + v % 8 // 2", "s1": "v % 2 * 255", "w11": "v16 % 2048 * 32 + v16 % 2048 // 64"})
 _pixels("swap_bytes", {"v": lambda: k.swap_bytes(col("v16"))}, {"v": "v16 % 256 * 256 + v16 // 256"})
-_pixels("bgr", {"c0": lambda: col("b"), "c1": lambda: col("g"), "c2": lambda: col("r")}, {"c0": "b", "c1": "g", "c2": "r"})
 _pixels("div51", {"level": lambda: k.div51(col("v"))}, {"level": "(5 * v + 130) // 256"})
 _pixels("color_cube", {"idx": lambda: k.cube_index(*map(col, RGB))}, {"idx": "((5 * r + 130) // 256 * 6 + (5 * g + 130) // 256) * 6 + (5 * b + 130) // 256"})
 _pixels("gray_alpha_map", {"idx": lambda: k.gray_alpha_index(col("v"), col("a"))}, {"idx": "CASE WHEN a > 229 THEN (231 * v + 128) // 256 WHEN a < 26 THEN 231 ELSE 226 + 6 * ((5 * a + 130) // 256) + (5 * v + 130) // 256 END"})
@@ -158,19 +158,11 @@ _pixels("rgba_map", {"idx": lambda: k.rgba_cube_index(*map(col, "rgba"))},
 _pixels("unpremultiply_16", _each(lambda c: k.unpremultiply_16(c, col("a16")), RGB16), _each_sql(lambda c: f"CASE WHEN {c} >= a16 THEN 65535 ELSE ({c} * ((65535 * 32768 + a16 // 2) // greatest(a16, 1)) + 16384) // 32768 END", RGB16))
 
 
-def _narrow() -> Column:
-    a8, c, a = k.alpha_to_8(col("a16")), col("r16"), col("a16")
-    inverse = F.floor((F.lit((65535 * 255) << 7) + F.shiftright(a, 1)) / F.greatest(a, F.lit(1)))
-    wide = F.when(a < 65407, F.shiftright(c * F.when((a8 > 0) & (a8 < 255), inverse).otherwise(0) + 64, 7)).otherwise(c * 255)
-    return F.when((c >= a) | (a < 128), 255).otherwise(gm.linear_to_srgb(wide / 255.0))
-
-
 _S = lambda x: f"floor(255 * (CASE WHEN ({x}) <= 0.0031308 THEN ({x}) * 12.92 ELSE pow({x}, {1 / 2.4!r}::DOUBLE) * 1.055 - 0.055 END) + 0.5)"
 _WIDE = "(CASE WHEN a16 < 65407 THEN (r16 * (CASE WHEN (a16 * 255 + 32895) // 65536 BETWEEN 1 AND 254 THEN (65535 * 255 * 128 + a16 // 2) // greatest(a16, 1) ELSE 0 END) + 64) // 128 ELSE r16 * 255 END)"
-_pixels("narrow_to_8", {"a": lambda: k.alpha_to_8(col("a16")), "r": _narrow}, {"a": "(a16 * 255 + 32895) // 65536", "r": f"CASE WHEN r16 >= a16 OR a16 < 128 THEN 255 ELSE {_S(f'({_WIDE} / 255.0::DOUBLE / 65535.0::DOUBLE)')} END"})
+_pixels("narrow_to_8", {"a": lambda: k.alpha_to_8(col("a16")), "r": lambda: k.narrow_premultiplied(col("r16"), col("a16"), gm.linear_to_srgb)}, {"a": "(a16 * 255 + 32895) // 65536", "r": f"CASE WHEN r16 >= a16 OR a16 < 128 THEN 255 ELSE {_S(f'({_WIDE} / 255.0::DOUBLE / 65535.0::DOUBLE)')} END"})
 _pixels("srgb_to_linear", {"v": lambda: gm.srgb_to_linear(col("v"))}, {"v": "floor(65535 * (CASE WHEN v / 255.0::DOUBLE <= 0.04045 THEN v / 255.0::DOUBLE / 12.92 ELSE pow((v / 255.0::DOUBLE + 0.055) / 1.055, 2.4::DOUBLE) END) + 0.5)"})
 _pixels("linear_to_srgb", {"v": lambda: gm.linear_to_srgb(col("v16"))}, {"v": _S("(v16 / 65535.0::DOUBLE)")})
-_pixels("strip_filler", {"c0": lambda: col("r"), "c1": lambda: col("g"), "c2": lambda: col("b")}, {"c0": "r", "c1": "g", "c2": "b"})
 
 
 # --- plans: whole requests through the planner ----------------------------------------------------------------------
@@ -190,6 +182,7 @@ def _planned(name: str, asked: set[str], shape: Shape, cols: list[str], sql: lis
 RGB8, RGBA8, GRAY8 = Shape(8, 8, 2, 3), Shape(8, 8, 6, 4), Shape(8, 8, 0, 1)
 _planned("expand_palette", {"expand"}, Shape(8, 8, 3, 1), ["over"], ["coalesce(pr, 0)", "coalesce(pg, 0)", "coalesce(pb, 0)", "coalesce(pa, 255)"], True, palette=True)
 _planned("gray_to_rgb", {"gray_to_rgb"}, GRAY8, ["v"], ["v", "v", "v"])
+_planned("bgr", {"bgr"}, RGB8, ["r", "g", "b"], ["b", "g", "r"])
 _planned("strip_alpha", {"strip_alpha"}, RGBA8, ["r", "g", "b", "a"], ["r", "g", "b"])
 _planned("swap_alpha", {"swap_alpha"}, RGBA8, ["r", "g", "b", "a"], ["a", "r", "g", "b"])
 _planned("filler_before", {"filler"}, RGB8, ["r", "g", "b"], ["7", "r", "g", "b"], settings=Settings(filler=7 + 512, filler_after=False))
@@ -203,21 +196,28 @@ _planned("planned_compose", {"compose", "gamma"}, RGB8, ["r", "g", "b"],
          [f"CASE WHEN r = {KEY8} AND g = 3 AND b = 4 THEN {BACK} ELSE {_lut8(c, 50_000)} END" for c in RGB], True, Settings(45_455, 440_000 // 10 * 10, (BACK,) * 3, (BACK_LINEAR,) * 3, (KEY8, 3, 4)))
 
 
-def _user(name: str) -> None:
-    """The write-side hook runs before all other steps: a pandas UDF over whole rows."""
+def _written(name: str, asked: set[str], file: Shape, cols: list[str], sql: list[str], settings: Settings = Settings(), x: str = "x") -> None:
+    """Samples as a client has them, through a write plan."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        @F.pandas_udf("array<long>")
-        def double(rows: pd.Series) -> pd.Series:
-            return rows.map(lambda r: [int(v) * 2 % 256 for v in r])
+        px = fixtures.pixels(spark, sf_dir).withColumn("small", F.col("v16") % 2048)
+        out = plan_write(asked, file, settings).apply(px.select("image_id", "y", "x", *cols))
+        names = {f"c{i}": n for i, n in enumerate(NAMED.get(name, ()))}
+        return out.select(*[F.col(c).cast("long").alias(names.get(c, c)) for c in out.columns])
 
-        rows = fixtures.pixels(spark, sf_dir).groupBy("image_id", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda s: s["v"]).alias("s"))
-        return rows.select("image_id", "y", F.posexplode(double("s")).alias("x", "v")).select("image_id", "y", F.col("x").cast("long").alias("x"), (F.lit(255) - F.col("v")).alias("v"))
+    exprs = ", ".join(f"CAST({e} AS BIGINT) AS {n}" for n, e in zip(NAMED.get(name, [f"c{i}" for i in range(9)]), sql))
+    _register(name, run, f"{PX} SELECT image_id, y, {x} AS x, {exprs} FROM px")
 
-    _register(name, run, f"{PX} SELECT image_id, y, x, 255 - v * 2 % 256 AS v FROM px")
 
-
-_user("user_transform_write")
+NAMED = {"user_transform_write": ["v"]}
+_written("strip_filler", {"filler"}, RGB8, ["r", "g", "b", "a"], ["r", "g", "b"])
+_written("strip_filler_before", {"filler", "bgr"}, RGB8, ["a", "r", "g", "b"], ["b", "g", "r"], Settings(filler_after=False))
+_written("user_transform_write", {"user_transform", "invert_mono"}, GRAY8, ["v"], ["255 - v * 2 % 256"], Settings(user=lambda live: {i: c * 2 % 256 for i, c in live.items()}))
+_written("write_plan_rgba", {"swap_alpha", "invert_alpha", "bgr", "filler", "packing"}, RGBA8, ["a", "r", "g", "b"], ["b", "g", "r", "255 - a"])
+_written("write_plan_wide", {"shift", "swap_bytes", "invert_mono"}, Shape(8, 16, 0, 1), ["small"],
+         ["65535 - ((v16 % 2048 * 32 + v16 % 2048 // 64) % 256 * 256 + (v16 % 2048 * 32 + v16 % 2048 // 64) // 256)"], Settings(significant=(11,)))
+_written("write_plan_packed", {"packing", "pack_swap", "invert_mono"}, Shape(8, 4, 0, 1), ["v"], ["15 - v % 16"])
+_written("write_plan_swapped", {"pack_swap", "invert_mono"}, Shape(8, 4, 0, 1), ["idx"], ["15 - idx"], x="x // 2 * 2 + 1 - x % 2")
 
 # --- look-up tables -------------------------------------------------------------------------------------------------
 
@@ -306,7 +306,7 @@ _register("packswap", lambda spark, d: fixtures.pixels(spark, d).select("image_i
 
 def _row_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    unused = F.expr("cast(shiftleft(255, cast((8 - p_size % 8) % 8 as int)) & 255 as bigint)")
+    unused = F.lit(255) - geometry.unused_bits(F.col("p_size"))
     return part.select("p_partkey", *[k.row_bytes(F.col("p_size"), F.lit(b)).alias(f"b{b}") for b in (1, 2, 4, 24, 64)], unused.alias("mask"))
 
 
@@ -319,8 +319,13 @@ _register("interlace", lambda spark, d: geometry.interlace(fixtures.pixels(spark
 _register("deinterlace_roundtrip", lambda spark, d: geometry.deinterlace(geometry.interlace(fixtures.pixels(spark, d).select("image_id", "y", "x", "v")).drop("x", "y")).select("image_id", "y", "x", "v"), f"{PX} SELECT image_id, y, x, v FROM px")
 _register("block_display", lambda spark, d: geometry.block_display(geometry.interlace(fixtures.pixels(spark, d).select("image_id", "y", "x", "v")), 3, 8, 8),
           f"{PX} SELECT a.image_id, a.y, a.x, b.v FROM px a JOIN px b ON a.image_id = b.image_id AND b.y = a.y // 4 * 4 AND b.x = a.x // 2 * 2")
-_register("combine_row", lambda spark, d: (lambda px: px.filter(geometry.pass_of(F.col("x"), F.col("y")) <= 4).select("image_id", "y", "x", "v").join(px.filter(geometry.pass_of(F.col("x"), F.col("y")) == 5).select("image_id", "y", "x", F.col("v").alias("new")), ["image_id", "y", "x"], "full").select("image_id", "y", "x", F.coalesce("new", "v").alias("v")))(fixtures.pixels(spark, d)),
-          f"{PX} SELECT image_id, y, x, v FROM px WHERE {_PASS_SQL} <= 5")
+def _combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passes up to the fifth, and the sixth on top of them."""
+    px = fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", "v", geometry.pass_of(F.col("x"), F.col("y")).alias("pass"))
+    return geometry.combine(px.filter("pass <= 4"), px.filter("pass = 5"))
+
+
+_register("combine_row", _combined, f"{PX} SELECT image_id, y, x, v FROM px WHERE {_PASS_SQL} <= 5")
 
 # --- prediction -----------------------------------------------------------------------------------------------------
 
@@ -597,8 +602,8 @@ _register("rgba_entries", lambda spark, d: formats.rgba_entries(spark), "WITH t
 
 def _buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = fixtures.pixels(spark, sf_dir)
-    front = px.select("image_id", "y", "x", F.floor(F.col("v") * _alpha3() / 255).alias("v"), _alpha3().alias("a"))
-    return formats.composite_on_buffer(front, px.select("image_id", "y", "x", F.col("g").alias("d")), indexed=True)
+    v = F.floor(F.col("v") * _alpha3() / 255)
+    return px.select("image_id", "y", "x", formats.composite_on_buffer(v, _alpha3(), F.col("g"), indexed=True).alias("v"), _alpha3().cast("long").alias("a"))
 
 
 _register("composite_on_buffer", _buffered, f"{PX}, f AS (SELECT image_id, y, x, v * {_ALPHA3} // 255 AS v, {_ALPHA3} AS a, g AS d FROM px) SELECT image_id, y, x, CASE WHEN a = 0 THEN d WHEN a = 255 THEN v ELSE v + ((255 - a) * d + 127) // 255 END AS v, CAST(a AS BIGINT) AS a FROM f")
@@ -646,3 +651,149 @@ def _progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("progressive_rows", _progressive, f"{PX} SELECT image_id, y, x, v FROM px")
+
+
+# --- files of many kinds, read as one format ------------------------------------------------------------------------
+
+
+def _stored(spark: SparkSession, *parts: DataFrame) -> DataFrame:
+    """Files of several encoders, written once."""
+    import uuid
+
+    from .streaming.shared import shared_dir
+
+    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    for p in parts:
+        p.write.mode("append").parquet(root)
+    return spark.read.schema("image_id long, content binary").parquet(root)
+
+
+GENERATED = [(7 * i % 256, 13 * i % 256, 29 * i % 256) for i in range(16)]
+GENERATED_ALPHA = [32 * i for i in range(8)]
+
+
+def _indexed_files(spark: SparkSession, sf_dir: str, only: Column | None = None, **options) -> DataFrame:
+    from .sources.images import encode_images
+
+    px = fixtures.pixels(spark, sf_dir)
+    px = px if only is None else px.filter(only)
+    return encode_images(px.select("image_id", "y", "x", "idx"), None, ["idx"], 4, 3, palette=GENERATED, alpha=GENERATED_ALPHA, **options)
+
+
+def _plain_files(spark: SparkSession, sf_dir: str, cols: list[str], depth: int, color: int, only: Column | None = None, **options) -> DataFrame:
+    from .sources.images import encode_images
+
+    px = fixtures.pixels(spark, sf_dir)
+    px = px if only is None else px.filter(only)
+    return encode_images(px.select("image_id", "y", "x", *cols), None, cols, depth, color, **options)
+
+
+def _longs(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("long").alias(c) for c in df.columns])
+
+
+def _read(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
+    _register(name, lambda spark, d: _longs(make(spark, d)), sql)
+
+
+def _read_files(name: str, files: Callable[[SparkSession, str], DataFrame], want: str, exprs: list[str], source: str = "px JOIN pal USING (idx)", **options) -> None:
+    from . import api
+
+    cols = ", ".join(f"CAST({e} AS BIGINT) AS c{i}" for i, e in enumerate(exprs))
+    _read(name, lambda spark, d: api.read_as(files(spark, d), want, **options), f"{PAL} SELECT image_id, y, x, {cols} FROM {source}")
+
+
+PRGB = ("pr", "pg", "pb")
+_LIGHT_FILE = {"metadata": {"gAMA": 100_000}}
+_premultiplied = lambda c: f"257 * (CASE WHEN pa = 255 THEN {_lut8(c, 219_998)} WHEN pa = 0 THEN 0 ELSE {_blend8(_lut8(c, 219_998), 'pa', '0')} END)"
+_read_files("read_as_indexed", _indexed_files, "rgba", [*PRGB, "pa"])
+_read_files("read_as_indexed_gamma", lambda s, d: _indexed_files(s, d, **_LIGHT_FILE), "rgba", [*(_lut8(c, 45_455) for c in PRGB), "pa"])
+_read_files("read_as_linear", _indexed_files, "linear_rgba", [*map(_premultiplied, PRGB), "pa * 257"])
+_read_files("read_as_indexed_on_background", lambda s, d: _indexed_files(s, d, **_LIGHT_FILE), "rgb", [
+    f"CASE WHEN pa = 255 THEN {_lut8(c, 45_455)} WHEN pa = 0 THEN {b} ELSE {_lut8(_blend8(c, 'pa', f'({_lut8(str(b), 220_000)})'), 45_455)} END" for c, b in zip(PRGB, (10, 20, 30))], background=(10, 20, 30))
+
+
+def _mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexed, RGB and 16-bit grey files; the first and the last say that they hold light."""
+    n = F.col("image_id") % 3
+    return _stored(spark, _indexed_files(spark, sf_dir, n == 0, **_LIGHT_FILE), _plain_files(spark, sf_dir, ["r", "g", "b"], 8, 2, n == 1), _plain_files(spark, sf_dir, ["v16"], 16, 0, n == 2, metadata={"gAMA": 100_000, "sBIT": {"gray": 16}}))
+
+
+#: The 255 bounds at which 16-bit light, cut by 5 bits, changes its sRGB-like byte.
+_EDGES = "[least(CAST(floor(65535 * pow((b * 257 + 128) / 65535.0::DOUBLE, 2.19998::DOUBLE) + 0.5) AS BIGINT) * 2047 + 32768, 2047 * 65535 + 65534) // 65535 + 1 for b in range(255)]"
+_read_files("read_as_mixed", _mixed_files, "rgb", [
+    f"CASE image_id % 3 WHEN 0 THEN {_lut8(p, 45_455)} WHEN 1 THEN {c} ELSE len(list_filter({_EDGES}, lambda z: z <= v16 // 32)) END" for p, c in zip(PRGB, RGB)])
+ORACLE_SQL["read_as_mixed"] = ORACLE_SQL["read_as_mixed"].replace(_EDGES, "edges").replace("FROM px JOIN", f"FROM (SELECT {_EDGES} AS edges) AS e, px JOIN")
+_read_files("read_as_16", lambda s, d: _plain_files(s, d, ["r16", "g16", "b16"], 16, 2), "rgb", [f"({c} + 128) // 257" for c in RGB16], "px")
+_read_files("read_as_16_light", lambda s, d: _plain_files(s, d, ["r16", "g16", "b16"], 16, 2), "rgb", [f"len(list_filter(edges, lambda z: z <= {c} // 32))" for c in RGB16], f"(SELECT {_EDGES} AS edges) AS e, px", wide_is_srgb=False)
+
+
+def _read_with_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import api
+
+    return api.read_with(_indexed_files(spark, sf_dir, metadata={"gAMA": 70_000}), {"expand", "gamma", "filler"}, Settings(file_gamma=45_455, screen_gamma=100_000))
+
+
+_read("read_with_gamma_indexed", _read_with_gamma, f"{PAL} SELECT image_id, y, x, {', '.join(f'CAST({_lut8(c, 142_857)} AS BIGINT) AS c{i}' for i, c in enumerate(PRGB))}, pa AS c3 FROM px JOIN pal USING (idx)")
+
+
+def _over_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import api
+
+    buffer = fixtures.pixels(spark, sf_dir).select("image_id", "y", "x", F.col("r").alias("c0"), F.col("g").alias("c1"), F.col("b").alias("c2"))
+    return api.read_over(_plain_files(spark, sf_dir, ["v", "a"], 8, 4, metadata={"gAMA": 100_000}), "rgb", buffer)
+
+
+_SRGB_LIGHT = lambda v: f"floor(65535 * (CASE WHEN ({v}) / 255.0::DOUBLE <= 0.04045 THEN ({v}) / 255.0::DOUBLE / 12.92 ELSE pow((({v}) / 255.0::DOUBLE + 0.055) / 1.055, 2.4::DOUBLE) END) + 0.5)"
+_read("read_over_buffer", _over_buffer, f"{PX} SELECT image_id, y, x, " + ", ".join(
+    f"CAST(CASE WHEN a = 0 THEN {c} WHEN a = 255 THEN {_lut8('v', 45_455)} ELSE {_S(f'(least({_blend8(chr(118), chr(97), chr(48))} * 65535 + (255 - a) * {_SRGB_LIGHT(c)}, 255 * 65535) / 255.0::DOUBLE / 65535.0::DOUBLE)')} END AS BIGINT) AS c{i}" for i, c in enumerate(RGB)) + " FROM px")
+
+# --- colour maps ----------------------------------------------------------------------------------------------------
+
+
+def _mapped(name: str, files: Callable[[SparkSession, str], DataFrame], want: str, index: str, exprs: list[str], source: str = "px", **options) -> None:
+    """Each pixel's index beside the entry that its image's map has for it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from . import api
+
+        indices, entries = api.read_indexed(files(spark, sf_dir), want, **options)
+        return _longs(indices.join(entries, ["image_id", "idx"]).select("image_id", "y", "x", "idx", *[f"c{i}" for i in range(len(exprs))]))
+
+    cols = ", ".join(f"CAST({e} AS BIGINT) AS c{i}" for i, e in enumerate(exprs))
+    inner = f"SELECT *, CAST({index} AS BIGINT) AS entry FROM {source}"
+    _register(name, run, f"{PAL} SELECT image_id, y, x, entry AS idx, {cols} FROM ({inner})")
+
+
+_light_of = lambda v: _S(f"(({v}) * 257 / 65535.0::DOUBLE)")
+_div51 = lambda c: f"((5 * {c} + 130) // 256)"
+_CUBE = f"({_div51('r')} * 6 + {_div51('g')}) * 6 + {_div51('b')}"
+_mapped("colormap_gray", lambda s, d: _plain_files(s, d, ["idx"], 4, 0, **_LIGHT_FILE), "rgba", "idx", [_light_of("entry * 17")] * 3 + ["255"])
+_mapped("colormap_gray_key", lambda s, d: _plain_files(s, d, ["idx"], 4, 0, key=(5,)), "rgb", "idx", [f"CASE WHEN entry = 5 THEN {b} ELSE entry * 17 END" for b in (10, 20, 30)], background=(10, 20, 30))
+_mapped("colormap_gray_16", lambda s, d: _plain_files(s, d, ["v16"], 16, 0), "linear_gray", "(v16 + 128) // 257", [_SRGB_LIGHT("entry")])
+_mapped("colormap_rgb_to_gray", lambda s, d: _plain_files(s, d, ["r", "g", "b"], 8, 2), "gray", f"CASE WHEN r = g AND r = b THEN r ELSE {_lut8(_gray(*(_lut8(c, 219_998) for c in RGB), 16384), 45_455)} END", ["entry"])
+_AT = f"CAST(floor(({_SRGB_LIGHT('20')} * 255 + 32767) / 65535) AS BIGINT)"
+_mapped("colormap_rgba_to_gray", lambda s, d: _plain_files(s, d, ["r", "g", "b", "a"], 8, 6, **_LIGHT_FILE), "gray", _blend8(_gray("r", "g", "b", 0), "a", _AT), [f"CASE WHEN entry = {_AT} THEN 20 ELSE {_light_of('entry')} END"], background=(10, 20, 30))
+_mapped("colormap_palette", lambda s, d: _indexed_files(s, d, **_LIGHT_FILE), "bgra", "idx", [*(_light_of(c) for c in ("pb", "pg", "pr")), "pa"], "px JOIN pal USING (idx)")
+_mapped("colormap_palette_on_background", _indexed_files, "rgb", "idx", [
+    f"CASE WHEN pa = 255 THEN {c} WHEN pa = 0 THEN {b} ELSE {_S(f'(({_SRGB_LIGHT(c)} * pa + {_SRGB_LIGHT(str(b))} * (255 - pa)) / 255.0::DOUBLE / 65535.0::DOUBLE)')} END" for c, b in zip(PRGB, (10, 20, 30))], "px JOIN pal USING (idx)", background=(10, 20, 30))
+_GA = "CASE WHEN a > 229 THEN (231 * v + 128) // 256 WHEN a < 26 THEN 231 ELSE 226 + 6 * ((5 * a + 130) // 256) + (5 * v + 130) // 256 END"
+_mapped("colormap_gray_alpha", lambda s, d: _plain_files(s, d, ["v", "a"], 8, 4), "gray_alpha", _GA, ["CASE WHEN entry < 231 THEN (entry * 256 + 115) // 231 WHEN entry = 231 THEN 255 ELSE (entry - 232) % 6 * 51 END", "CASE WHEN entry < 231 THEN 255 WHEN entry = 231 THEN 0 ELSE ((entry - 232) // 6 + 1) * 51 END"])
+_mapped("colormap_gray_alpha_composed", lambda s, d: _plain_files(s, d, ["v", "a"], 8, 4), "gray", f"CASE WHEN a = 255 THEN v WHEN a = 0 THEN 20 ELSE {_lut8(_blend8(_lut8('v', 219_998), 'a', '(' + _lut8('20', 220_000) + ')'), 45_455)} END", ["entry"], background=(10, 20, 30))
+_mapped("colormap_rgb", lambda s, d: _plain_files(s, d, ["r", "g", "b"], 8, 2), "bgr", _CUBE, ["entry % 6 * 51", "entry // 6 % 6 * 51", "entry // 36 * 51"])
+_mapped("colormap_rgba", lambda s, d: _plain_files(s, d, ["r", "g", "b", "a"], 8, 6), "rgba", f"CASE WHEN a >= 196 THEN {_CUBE} WHEN a < 64 THEN 216 ELSE 217 + {_half('r', 9)} + {_half('g', 3)} + {_half('b', 1)} END", [
+    *(f"CASE WHEN entry < 216 THEN entry // {w} % 6 * 51 WHEN entry = 216 THEN 255 ELSE [0, 127, 255][CAST((entry - 217) // {u} % 3 + 1 AS BIGINT)] END" for w, u in ((36, 9), (6, 3), (1, 1))), "CASE WHEN entry < 216 THEN 255 WHEN entry = 216 THEN 0 ELSE 128 END"])
+
+
+def _mapped_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indices and a map a format holds, written as indexed files and read as RGBA."""
+    from . import api
+
+    px = fixtures.pixels(spark, sf_dir)
+    pal = fixtures.palette(spark)
+    entries = px.select("image_id", "idx").distinct().select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("idx"))
+    entries = entries.join(F.broadcast(pal), "idx").select("image_id", "idx", F.col("pa").alias("c0"), F.col("pb").alias("c1"), F.col("pg").alias("c2"), F.col("pr").alias("c3"))
+    return api.read_as(api.write_indexed(px.select("image_id", "y", "x", "idx"), entries, "abgr"), "rgba")
+
+
+_read("colormap_write", _mapped_write, f"{PAL} SELECT image_id, y, x, pr AS c0, pg AS c1, pb AS c2, pa AS c3 FROM px JOIN pal USING (idx)")

@@ -29,7 +29,8 @@ def key_alpha(samples: list[Column], key: list[int], depth: int) -> Column:
     """0 where all samples equal the transparent key (its low byte at 8 bits), else the greatest alpha."""
     same = F.lit(True)
     for s, k in zip(samples, key):
-        same = same & (s == (k & 255 if depth == 8 else k))
+        low = k.bitwiseAND(F.lit(255)) if isinstance(k, Column) else k & 255
+        same = same & (s == (low if depth == 8 else k))
     return F.when(same, 0).otherwise(top(depth)).cast("long")
 
 
@@ -158,3 +159,16 @@ def color_cell(r: Column, g: Column, b: Column) -> Column:
 def pack_swap(x: Column, per_byte: int) -> Column:
     """Position of a sample once each byte's samples are in reverse order."""
     return x - x % per_byte + (per_byte - 1) - x % per_byte
+
+
+def pack(v: Column, depth: int) -> Column:
+    """A sample of a byte on its way into a narrower one: one bit says whether there is anything, others keep the low bits."""
+    return F.when(v != 0, 1).otherwise(0).cast("long") if depth == 1 else v.bitwiseAND(F.lit(top(depth)))
+
+
+def narrow_premultiplied(c: Column, a: Column, to_srgb) -> Column:
+    """A premultiplied 16-bit light by its coverage, as an 8-bit sample; full where the colour reaches the coverage or that is next to nothing."""
+    a8 = alpha_to_8(a)
+    inverse = F.floor((F.lit((65535 * 255) << 7) + _shift(a, 1)) / F.greatest(a, F.lit(1)))
+    wide = F.when(a < 65407, _shift(c * F.when((a8 > 0) & (a8 < 255), inverse).otherwise(0) + 64, 7)).otherwise(c * 255)
+    return F.when((c >= a) | (a < 128), 255).otherwise(to_srgb(wide / 255.0)).cast("long")

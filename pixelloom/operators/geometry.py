@@ -47,13 +47,40 @@ def deinterlace(rows: DataFrame) -> DataFrame:
     return joined.withColumn("x", F.col("x0") + F.col("pass_x") * F.col("dx")).withColumn("y", F.col("y0") + F.col("pass_y") * F.col("dy")).drop("x0", "y0", "dx", "dy")
 
 
+def block_origin(x: Column, y: Column, upto: int) -> tuple[Column, Column]:
+    """x and y of the pixel shown at (x, y) once passes up to ``upto`` are there: the newest whose block covers it.
+
+    A pass's blocks tile the grid that its own and the earlier passes make up, so the origin is a rounding down of the position.
+    """
+    ox, oy = x, y
+    for k in range(7):
+        if k > upto:
+            break
+        x0, y0, dx, dy, bw, bh = PASSES[k]
+        px, py = x - (x - x0) % dx, y - (y - y0) % dy  # this pass's pixel left of and above
+        covers = (x >= x0) & (y >= y0) & (x - px < bw) & (y - py < bh)
+        ox, oy = (px, py) if k == 0 else (F.when(covers, px).otherwise(ox), F.when(covers, py).otherwise(oy))
+    return ox, oy
+
+
 def block_display(rows: DataFrame, upto: int, width: int, height: int) -> DataFrame:
     """Progressive display: every pixel shows the newest pass up to ``upto`` whose block covers it.
 
-    ``rows`` has image_id, pass, x, y, v. A pixel of a pass covers its block; the newest wins.
+    ``rows`` has image_id, pass, x, y, v; each shown pixel looks its origin up, inside its image.
     """
-    dim = F.broadcast(passes(rows.sparkSession).select("pass", "block_w", "block_h"))
-    shown = rows.filter(F.col("pass") <= upto).join(dim, "pass")
-    wide = shown.withColumn("bx", F.explode(F.sequence(F.col("x"), F.least(F.col("x") + F.col("block_w"), F.lit(width)) - 1)))
-    tall = wide.withColumn("by", F.explode(F.sequence(F.col("y"), F.least(F.col("y") + F.col("block_h"), F.lit(height)) - 1)))
-    return tall.groupBy("image_id", F.col("by").alias("y"), F.col("bx").alias("x")).agg(F.max_by("v", "pass").alias("v"))
+    shown = rows.filter(F.col("pass") <= upto).select("image_id", F.col("y").alias("oy"), F.col("x").alias("ox"), "v")
+    ids = rows.select("image_id").distinct()
+    spots = ids.select("image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long"))).alias("y")).select("image_id", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("x"))
+    ox, oy = block_origin(F.col("x"), F.col("y"), upto)
+    return spots.withColumn("ox", ox).withColumn("oy", oy).join(shown, ["image_id", "oy", "ox"]).select("image_id", "y", "x", "v")
+
+
+def combine(before: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows so far (image_id, y, x, v) with the pixels that a further pass brings."""
+    both = before.select("image_id", "y", "x", "v").join(new.select("image_id", "y", "x", F.col("v").alias("new")), ["image_id", "y", "x"], "full")
+    return both.select("image_id", "y", "x", F.coalesce("new", "v").alias("v"))
+
+
+def unused_bits(samples: Column, depth: int = 1) -> Column:
+    """Mask of the low bits of a row's last byte that no sample uses; 0 where the row fills its bytes."""
+    return F.pow(F.lit(2), (F.lit(8) - samples * depth % 8) % 8).cast("long") - 1

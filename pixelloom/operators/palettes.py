@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,61 +58,85 @@ def distance(a, b) -> int:
     return sum(abs(x - y) for x, y in zip(a, b))
 
 
+def _sunk(order: list[int], weight: list[int]) -> list[int]:
+    """``order`` after one pass that carries the rarest entry met so far towards the end."""
+    out, carried = [], order[0]
+    for entry in order[1:]:
+        if weight[carried] < weight[entry]:
+            out.append(entry)
+        else:
+            out.append(carried)
+            carried = entry
+    return [*out, carried]
+
+
 def reduce_by_frequency(colors: list, frequency: list[int], most: int) -> tuple[list, list[int]]:
     """Palette with the kept colours in front, and where each old index goes.
 
-    Passes of neighbour swaps push rare colours to the end and stop once the dropped tail is settled. Kept colours that
-    sit beyond the first ``most`` slots change places with dropped ones, and each dropped one maps to its nearest kept colour.
+    One pass for each entry to drop settles the tail of a ranking, no more. Where a ranking's front place holds an entry from beyond
+    ``most``, the colours *at that place* and at the last back place that holds one from the front are exchanged. Dropped colours go to
+    the nearest kept one, the lowest on ties.
     """
-    colors, n = list(colors), len(colors)
-    moved = list(range(n))
+    n = len(colors)
     if n <= most:
-        return colors, moved
-    order, settled = list(range(n)), n - 1
-    while settled >= most:
-        swapped = False
-        for k in range(settled):
-            if frequency[order[k]] < frequency[order[k + 1]]:
-                order[k], order[k + 1], swapped = order[k + 1], order[k], True
-        if not swapped:
-            break
-        settled -= 1
-    donors = (k for k in range(n - 1, -1, -1) if order[k] < most)
-    for slot in (k for k in range(most) if order[k] >= most):
-        donor = next(donors)
-        colors[slot], colors[donor] = colors[donor], colors[slot]
-        moved[donor], moved[slot] = slot, donor
-    for k in range(n):
-        if moved[k] >= most:
-            gone = colors[moved[k]]
-            moved[k] = min(range(most), key=lambda c: (distance(gone, colors[c]), c))
-    return colors[:most], moved
+        return list(colors), list(range(n))
+    order = list(range(n))
+    for end in range(n, most, -1):
+        order[:end] = _sunk(order[:end], frequency)
+    front = [place for place in range(most) if order[place] >= most]
+    back = [place for place in reversed(range(most, n)) if order[place] < most]
+    partner = dict(zip(front, back)) | dict(zip(back, front))
+    kept = [colors[partner.get(slot, slot)] for slot in range(most)]
+    nearest = lambda c: min(range(most), key=lambda slot: (distance(c, kept[slot]), slot))
+    return kept, [slot if (slot := partner.get(e, e)) < most else nearest(colors[e]) for e in range(n)]
+
+
+class _Survivors:
+    """Entries that stand for themselves, each in a slot; a merged entry names its heir."""
+
+    def __init__(self, n: int) -> None:
+        self.heir, self.slots = list(range(n)), list(range(n))
+
+    def alive(self, entry: int) -> bool:
+        return self.heir[entry] == entry
+
+    def merge(self, gone: int, heir: int) -> None:
+        """The entry of the last slot moves to the one that falls free."""
+        self.heir[gone] = heir
+        free, last = self.slots.index(gone), self.slots.pop()
+        if last != gone:
+            self.slots[free] = last
+
+    def slot_of_all(self) -> list[int]:
+        at, out = {entry: slot for slot, entry in enumerate(self.slots)}, []
+        for entry in range(len(self.heir)):
+            while not self.alive(entry):
+                entry = self.heir[entry]
+            out.append(at[entry])
+        return out
+
+
+#: Pairs are taken up to a distance that grows by this much from round to round, to the greatest that three channels allow.
+RADIUS_STEP, FARTHEST = 96, 765
 
 
 def reduce_by_distance(colors: list, most: int) -> tuple[list, list[int]]:
     """Merge nearest pairs until ``most`` colours are left.
 
-    Pairs are visited by distance, the latest found first; whether the left or the right one goes alternates with the
-    number of live colours. The radius widens in steps when it is exhausted.
+    A round looks at the slots as they are when it begins: pairs within the radius by distance, of equal ones the last first. Of a pair of
+    survivors the earlier goes if their number is odd, else the later.
     """
-    colors, n = list(colors), len(colors)
-    moved, live, radius = list(range(n)), n, 96
-    while live > most and radius <= 861:
-        place, owner = list(range(n)), list(range(n))
-        pairs = [(d, -k, i, j) for k, (i, j, d) in enumerate((i, j, distance(colors[i], colors[j])) for i in range(live - 1) for j in range(i + 1, live)) if d <= radius]
-        for _, _, i, j in sorted(pairs):
-            if place[i] < live and place[j] < live:
-                going, staying = (i, j) if live % 2 else (j, i)
-                live -= 1
-                hole, kept = place[going], place[staying]
-                colors[hole] = colors[live]
-                moved = [hole if m == live else m for m in (kept if m == hole else m for m in moved)]
-                place[owner[live]], owner[hole] = hole, owner[live]
-                place[going], owner[live] = live, going
-            if live <= most:
-                break
-        radius += 96
-    return colors[:live], moved
+    left, radius = _Survivors(len(colors)), 0
+    while len(left.slots) > most and radius < FARTHEST:
+        radius += RADIUS_STEP
+        ranked = ((distance(colors[a], colors[b]), -rank, a, b) for rank, (a, b) in enumerate(combinations(left.slots, 2)))
+        near = [pair for pair in ranked if pair[0] <= radius]
+        heapify(near)
+        while near and len(left.slots) > most:
+            _, _, a, b = heappop(near)
+            if left.alive(a) and left.alive(b):
+                left.merge(*((a, b) if len(left.slots) % 2 else (b, a)))
+    return [colors[e] for e in left.slots], left.slot_of_all()
 
 
 def reduce_palettes(palettes: DataFrame, most: int, by_frequency: bool) -> DataFrame:

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gamma as curves
-from .planner import Plan, Settings, Shape, plan
+from .planner import Background, Plan, Settings, Shape, plan, resolve_background
 
 SRGB, LINEAR = 220_000, 100_000
 FILE_SRGB = 45_455
@@ -45,7 +45,7 @@ def describe(headers: DataFrame) -> DataFrame:
     return headers.select("image_id", kind.bitwiseAND(F.lit(2)).cast("boolean").alias("color"), (kind.bitwiseAND(F.lit(4)).cast("boolean") | F.col("transparent")).alias("alpha"), (F.col("bit_depth") == 16).alias("linear"), indexed.alias("colormap"), F.when(indexed, F.least("n_palette", F.lit(256))).when(kind == 0, low).otherwise(256).cast("long").alias("entries"))
 
 
-def requests(start: Shape, transparent: bool, want: Format, file_gamma: int = FILE_SRGB, background: tuple[int, int, int] | None = None) -> tuple[set[str], Settings]:
+def requests(start: Shape, transparent: bool, want: Format, file_gamma: int | Column = FILE_SRGB, background: tuple[int, int, int] | None = None) -> tuple[set[str], Settings]:
     """What a format asks of images of one shape."""
     covered = start.has_alpha or transparent
     asked = {"expand", "expand_transparency", "gamma", "expand_16" if want.linear else "scale_16"}
@@ -63,10 +63,7 @@ def requests(start: Shape, transparent: bool, want: Format, file_gamma: int = FI
             asked.add("strip_alpha")
         else:
             asked.add("compose")
-            back = background if want.color else (background[1],)
-            scale = 257 if start.depth == 16 else 1
-            to_linear = curves.table_8(curves.reciprocal_exponent(screen))
-            s = replace(s, background=tuple(b * scale for b in back), background_linear=tuple(to_linear[b] * scale for b in back))
+            s = resolve_background(Background(*background, gray=background[1]), asked, start, s)
     if want.alpha and not covered:
         asked.add("add_alpha")
     if want.reversed:
@@ -105,17 +102,16 @@ def rgba_entries(spark) -> DataFrame:
     return spark.range(244).select(i.alias("idx"), *cols, F.when(i < 216, 255).when(i == 216, 0).otherwise(128).cast("long").alias("a"))
 
 
-def composite_on_buffer(front: DataFrame, buffer: DataFrame, indexed: bool = False) -> DataFrame:
-    """Premultiplied rows over a client's pixels: an equi-join on (image_id, y, x).
+def composite_on_buffer(v: Column, a: Column, d: Column, indexed: Column | bool = False) -> Column:
+    """A sample of 8 bits over a client's sample ``d`` by its coverage.
 
-    ``front`` has v (linear light of its coverage for ``indexed`` false: an 8-bit linear sample) and a; ``buffer`` has d.
+    ``v`` is light of its own coverage, or, of an ``indexed`` image, an encoded sample: its palette was premultiplied and encoded again.
     """
-    joined = front.join(buffer, ["image_id", "y", "x"])
-    v, a, d = F.col("v"), F.col("a"), F.col("d")
-    bytes_ = v + F.floor(((F.lit(255) - a) * d + 127) / 255)
-    light = F.least(v * 65535 + (F.lit(255) - a) * curves.srgb_to_linear(d), F.lit(255 * 65535))
-    mixed = bytes_ if indexed else curves.linear_to_srgb(light / 255)
-    return joined.withColumn("v", F.when(a == 0, d).when(a == 255, v).otherwise(mixed).cast("long")).drop("d")
+    rest = F.lit(255) - a
+    bytes_ = F.least(v + F.floor((rest * d + 127) / 255), F.lit(255))
+    light = F.least(v * 65535 + rest * curves.srgb_to_linear(d), F.lit(255 * 65535))
+    flag = F.lit(indexed) if isinstance(indexed, bool) else indexed
+    return F.when(a == 0, d).when(a == 255, v).when(flag, bytes_).otherwise(curves.linear_to_srgb(light / 255)).cast("long")
 
 
 def premultiplied_gray(c, a):

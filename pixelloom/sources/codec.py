@@ -264,13 +264,14 @@ def decode(content: bytes | None, pixels: bool = True, quiet_crc: bool = False)
         image.note("error", "Missing PLTE before IDAT")
     if pixels and not image.fatal:
         head = image.header
-        samples = np.zeros((head["height"], head["width"], head["channels"]), np.int32)
-        for k, kinds, rows in scanlines(image):
-            image.filters += [(k, y, int(f)) for y, f in enumerate(kinds)]
-            x0, y0, dx, dy = PASSES[k][:4] if head["interlaced"] else (0, 0, 1, 1)
-            w = len(range(x0, head["width"], dx))
-            samples[y0::dy, x0::dx] = unpack(rows, w, head["channels"], head["bit_depth"])
-        if not image.fatal:
+        passes = scanlines(image)
+        if not image.fatal:  # only now is there as much data as the header claims
+            samples = np.zeros((head["height"], head["width"], head["channels"]), np.int32)
+            for k, kinds, rows in passes:
+                image.filters += [(k, y, int(f)) for y, f in enumerate(kinds)]
+                x0, y0, dx, dy = PASSES[k][:4] if head["interlaced"] else (0, 0, 1, 1)
+                w = len(range(x0, head["width"], dx))
+                samples[y0::dy, x0::dx] = unpack(rows, w, head["channels"], head["bit_depth"])
             image.samples = samples
             if head["color_type"] == 3 and samples.max(initial=0) >= len(image.palette):
                 image.note("warning", "Read palette index exceeding num_palette", "IDAT")

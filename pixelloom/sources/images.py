@@ -22,7 +22,7 @@ SCHEMAS = {
     "palette": "image_id string, idx int, r int, g int, b int, a int, freq int",
     "scanlines": "image_id string, pass int, pass_row int, filter int",
     "rows": "image_id string, y int, width int, channels int, samples array<int>",
-    "kinds": "image_id string, color_type int, bit_depth int, transparent boolean, key string, gamma int",
+    "typed_rows": "image_id string, y int, width int, channels int, samples array<int>, color_type int, bit_depth int, transparent boolean, key array<int>, gamma int, sample_bits int",
     "text": "image_id string, ord int, compression int, keyword string, text string, language string, translated string",
     "unknown": "image_id string, ord int, name string, data binary, location int",
     "diagnostics": "image_id string, seq int, severity string, chunk string, message string",
@@ -36,18 +36,18 @@ def files(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 
 def kind_of(image: codec.Image) -> tuple | None:
-    """color_type, bit_depth, transparent, key, gamma: what a plan depends on; None without a header."""
+    """color_type, bit_depth, transparent, key (red, green, blue), gamma, significant bits: what a plan depends on; None without a header."""
     if image.header is None:
         return None
     trns, color = image.metadata.get("tRNS"), image.header["color_type"]
-    key = ",".join(str(trns[c]) for c in ("red", "green", "blue")) if trns and color in (0, 2) else ""
-    return color, image.header["bit_depth"], trns is not None, key, image.metadata.get("gAMA", 0)
+    key = [trns[c] for c in ("red", "green", "blue")] if trns and color in (0, 2) else [0, 0, 0]
+    bits = image.metadata.get("sBIT", {})
+    known = max(bits.get(c, 0) for c in (("red", "green", "blue") if color & 2 else ("gray",)))
+    return color, image.header["bit_depth"], trns is not None, key, image.metadata.get("gAMA", 0), known
 
 
-def _rows(kind: str, content: bytes | None, quiet_crc: bool, only: tuple | None) -> list[tuple]:
-    if only is not None and kind_of(codec.decode(content, pixels=False, quiet_crc=quiet_crc)) != only:
-        return []
-    image = codec.decode(content, pixels=kind in ("rows", "scanlines", "diagnostics"), quiet_crc=quiet_crc)
+def _rows(kind: str, content: bytes | None, policy: dict) -> list[tuple]:
+    image = codec.decode(content, pixels=kind in ("rows", "typed_rows", "scanlines", "diagnostics"), **policy)
     if kind == "chunks":
         return [(c.seq, c.offset, c.name, len(c.payload), c.payload, c.crc, c.crc_ok, c.location) for c in image.chunks]
     if kind == "headers":
@@ -57,10 +57,9 @@ def _rows(kind: str, content: bytes | None, quiet_crc: bool, only: tuple | None)
         return [(i, *e, image.alpha[i] if i < len(image.alpha) else 255, freq[i] if i < len(freq) else None) for i, e in enumerate(image.palette)]
     if kind == "scanlines":
         return image.filters
-    if kind == "rows":
-        return [] if image.samples is None else [(y, image.header["width"], image.header["channels"], row.ravel().tolist()) for y, row in enumerate(image.samples)]
-    if kind == "kinds":
-        return [] if image.header is None else [kind_of(image)]
+    if kind in ("rows", "typed_rows"):
+        more = kind_of(image) if kind == "typed_rows" else ()
+        return [] if image.samples is None else [(y, image.header["width"], image.header["channels"], row.ravel().tolist(), *more) for y, row in enumerate(image.samples)]
     if kind == "text":
         return [(i, *t) for i, t in enumerate(image.text)]
     if kind == "unknown":
@@ -70,14 +69,14 @@ def _rows(kind: str, content: bytes | None, quiet_crc: bool, only: tuple | None)
     return [(i, *d) for i, d in enumerate(image.diagnostics)]
 
 
-def relation(images: DataFrame, kind: str, quiet_crc: bool = False, only: tuple | None = None) -> DataFrame:
-    """One of ``SCHEMAS`` from (image_id, content). ``only``: of images of one kind; others are not inflated."""
-    schema = SCHEMAS[kind]
+def relation(images: DataFrame, kind: str, quiet_crc: bool = False, **policy) -> DataFrame:
+    """One of ``SCHEMAS`` from (image_id, content); ``policy`` is ``codec.decode``'s."""
+    schema, policy = SCHEMAS[kind], {"quiet_crc": quiet_crc, **policy}
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = _rows(kind, content.as_py(), quiet_crc, only)
+                found = _rows(kind, content.as_py(), policy)
                 for at in range(0, len(found), 4096):
                     part = found[at : at + 4096]
                     cols = [[name] * len(part), *map(list, zip(*part))]
@@ -89,29 +88,50 @@ def relation(images: DataFrame, kind: str, quiet_crc: bool = False, only: tuple
     return images.select(F.col("image_id").cast("string"), "content").mapInArrow(run, schema)
 
 
-def pixels(images: DataFrame, quiet_crc: bool = False, only: tuple | None = None) -> DataFrame:
-    """image_id, y, x, c0..c3 (NULL beyond the image's channels); no shuffle."""
-    rows = relation(images, "rows", quiet_crc, only)
-    at = rows.select("image_id", "y", "samples", "channels", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+def explode_rows(rows: DataFrame, *more: str) -> DataFrame:
+    """image_id, y, x, c0..c3 (NULL beyond the image's channels) and ``more`` of rows of samples; no shuffle."""
+    at = rows.select("image_id", "y", "samples", "channels", *more, F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
     take = [F.when(F.col("channels") > k, F.get("samples", F.col("x") * F.col("channels") + k)).alias(f"c{k}") for k in range(4)]
-    return at.select("image_id", "y", "x", *take)
+    return at.select("image_id", "y", "x", *take, *more)
+
+
+def pixels(images: DataFrame, quiet_crc: bool = False, **policy) -> DataFrame:
+    """image_id, y, x, c0..c3 (NULL beyond the image's channels); no shuffle."""
+    return explode_rows(relation(images, "rows", quiet_crc, **policy))
+
+
+def packed_rows(pixel_rows: DataFrame, channels: list[str], depth: int) -> DataFrame:
+    """image_id, rows: each image's rows in order, their samples in order as one array of the narrowest integers, moved to be signed."""
+    kind, half = ("smallint", 1 << 15) if depth == 16 else ("tinyint", 1 << 7)
+    cells = F.array_sort(F.collect_list(F.struct("x", *channels)))
+    sample = lambda c: F.array(*[(c[n].cast("int") - half).cast(kind) for n in channels])
+    spread = pixel_rows.select("image_id", "y", "x", *channels).repartition("image_id")  # rows and images are then grouped in place
+    rows = spread.groupBy("image_id", "y").agg(F.flatten(F.transform(cells, sample)).alias("row"))
+    return rows.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "row"))), lambda r: r["row"]).alias("rows"))
 
 
-def encode_images(pixel_rows: DataFrame, width: int, channels: list[str], depth: int, color: int, interlaced: bool = False, **options) -> DataFrame:
-    """image_id, content from a pixel relation (image_id, y, x, channels): ordered rows, then one record an image.
+def encode_images(pixel_rows: DataFrame, width: int | None, channels: list[str], depth: int, color: int, interlaced: bool = False, palettes: DataFrame | None = None, **options) -> DataFrame:
+    """image_id, content from a pixel relation (image_id, y, x, channels): rows of bytes, then one record an image.
 
-    An image's samples meet in one record since a file is one record; images are spread by id.
+    Images may differ in size; with ``width`` given they may not. ``palettes`` (image_id, entries, alpha: arrays) gives each its own palette. An
+    image's samples meet in one record since a file is one record; images are spread by id.
     """
-    row = F.array_sort(F.collect_list(F.struct("y", "x", *channels))).alias("cells")
-    grouped = pixel_rows.groupBy("image_id").agg(row)
+    grouped = packed_rows(pixel_rows, channels, depth)
+    if palettes is not None:
+        grouped = grouped.join(palettes.select("image_id", "entries", "alpha"), "image_id", "left").select("image_id", "rows", "entries", "alpha")
+    half = 1 << 15 if depth == 16 else 1 << 7
 
     def run(batches):
         for batch in batches:
-            out = []
-            for cells in batch.column(1):
-                flat = cells.values.flatten()[2:]
-                samples = np.stack([c.to_numpy() for c in flat], axis=1).astype(np.int32).reshape(-1, width, len(channels))
-                out.append(codec.encode(samples, depth, color, interlaced, **options))
+            out, more = [], [{}] * batch.num_rows
+            if batch.num_columns > 2:
+                more = [{"palette": e or [], "alpha": a or []} for e, a in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            for rows, own in zip(batch.column(1), more):
+                flat = rows.values.flatten().to_numpy().astype(np.int32) + half
+                wide = len(flat) // len(rows.values) // len(channels)
+                if len({len(r) for r in rows.values}) != 1 or width not in (None, wide):
+                    raise ValueError("rows of an image differ in length")
+                out.append(codec.encode(flat.reshape(-1, wide, len(channels)), depth, color, interlaced, **options | own))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["image_id", "content"])
 
     kind = pixel_rows.schema["image_id"].dataType.simpleString()

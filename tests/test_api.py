@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from pixelloom import api
 from pixelloom.sources import codec
@@ -41,3 +42,27 @@ def test_write_and_read_back(spark):
     back = api.read_as(files, "rgb").selectExpr("cast(image_id as long) image_id", "y", "x", "c0", "c1", "c2")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, px.collect()))
     assert api.read_as(files.limit(0), "rgb").count() == 0
+
+
+def test_kinds_without_number_and_images_of_many_sizes(spark):
+    """Every file has a key and a gamma of its own; sizes differ too."""
+    made = []
+    for i in range(40):
+        px = np.full((1 + i % 3, 2 + i % 4, 3), i, np.int32)
+        made.append((f"k{i}", bytearray(codec.encode(px, 8, 2, key=(i, i, i) if i % 2 else (255, 0, 0), metadata={"gAMA": 45_455 + i}))))
+    files = spark.createDataFrame(made, "image_id string, content binary")
+    got = {}
+    for r in api.read_as(files, "rgba").collect():
+        got.setdefault(r["image_id"], set()).add((r["c0"], r["c1"], r["c2"], r["c3"]))
+    assert got == {f"k{i}": {(i, i, i, 0 if i % 2 else 255)} for i in range(40)}
+    px = spark.createDataFrame([(n, y, x, n * 10 + x) for n in (1, 2, 3) for y in range(n) for x in range(n + 1)], "image_id long, y long, x long, v long")
+    back = api.read_as(api.write_as(px, None, ["v"]), "gray").selectExpr("cast(image_id as long) image_id", "y", "x", "c0").collect()
+    assert sorted(map(tuple, back)) == sorted(map(tuple, px.collect()))
+
+
+def test_maps_that_cannot_be_are_refused(spark):
+    files = spark.createDataFrame([("a", bytearray(codec.encode(np.zeros((1, 1, 2), np.int32), 8, 4)))], "image_id string, content binary")
+    with pytest.raises(ValueError):
+        api.read_indexed(files, "rgb")
+    empty = api.read_indexed(files.limit(0), "rgb")
+    assert [x.count() for x in empty] == [0, 0]

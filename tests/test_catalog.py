@@ -66,3 +66,42 @@ def test_reduction_rules():
         for kept, moved in (palettes.reduce_by_frequency(cs, rng.integers(0, 99, n).tolist(), most), palettes.reduce_by_distance(cs, most)):
             assert len(kept) <= max(most, 1) or n <= most
             assert len(moved) == n and max(moved) < len(kept) and set(kept) <= set(cs)
+
+
+def merged_by_groups(colors, most):
+    """Nearest pairs by the prose: each slot holds a group of entries under its founder's colour; a round starts from the slots as they are."""
+    groups = [[e] for e in range(len(colors))]
+    for radius in range(96, 862, 96):
+        heads = [g[0] for g in groups]
+        far = {(a, b): sum(abs(x - y) for x, y in zip(colors[a], colors[b])) for i, a in enumerate(heads) for b in heads[i + 1 :]}
+        for d in range(radius + 1):
+            for a, b in reversed([p for p, q in far.items() if q == d]):
+                now = [g[0] for g in groups]
+                if len(groups) > most and a in now and b in now:
+                    gone, stays = (a, b) if len(groups) % 2 else (b, a)
+                    groups[now.index(stays)] += groups[now.index(gone)]
+                    groups[now.index(gone)] = groups[-1]
+                    groups.pop()
+    return [colors[g[0]] for g in groups], [next(s for s, g in enumerate(groups) if e in g) for e in range(len(colors))]
+
+
+def test_nearest_pairs_against_groups():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        n = int(rng.integers(1, 14))
+        top = int(rng.choice([3, 40, 256]))
+        cs = [tuple(map(int, c)) for c in rng.integers(0, top, (n, 3))]
+        most = int(rng.integers(1, n + 2))
+        assert palettes.reduce_by_distance(cs, most) == merged_by_groups(cs, most)
+
+
+def test_a_rarest_entry_sinks_in_each_pass():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        weight = rng.integers(0, 6, 9).tolist()
+        order = rng.permutation(9).tolist()
+        want = list(order)
+        for k in range(8):
+            if weight[want[k]] < weight[want[k + 1]]:
+                want[k], want[k + 1] = want[k + 1], want[k]
+        assert palettes._sunk(order, weight) == want

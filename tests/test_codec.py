@@ -109,3 +109,17 @@ def test_short_and_long_image_data():
     assert decode(data + chunk("IDAT", zlib.compress(b"\0ab")) + end).diagnostics[0][2] == "Not enough image data"
     assert decode(data + chunk("IDAT", zlib.compress(b"\0ab\0cdXX")) + end).diagnostics == [("warning", "IDAT", "Extra compressed data")]
     assert decode(data + chunk("IDAT", zlib.compress(b"\5ab\0cd")) + end).fatal
+
+
+def test_a_header_that_claims_too_much_gives_diagnostics():
+    """A file of some 70 bytes says it is 60,000 x 60,000, or a million squared: no memory is taken for it."""
+    import resource
+    import struct
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for side, depth, color in ((60_000, 8, 0), (1_000_000, 16, 6)):
+        for interlaced in (0, 1):
+            head = codec.chunk("IHDR", struct.pack(">IIBBBBB", side, side, depth, color, 0, 0, interlaced))
+            image = codec.decode(codec.MAGIC + head + codec.chunk("IDAT", zlib.compress(b"\0" * 40)) + codec.chunk("IEND", b""))
+            assert image.samples is None and ("error", "IDAT", "Not enough image data") in image.diagnostics
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000

@@ -57,3 +57,47 @@ def test_every_pair_of_requests_runs(spark):
                 p = plan(set(asked), shape(color, 8), transparent, Settings(file_gamma=45455, screen_gamma=100000, alpha_mode="optimized"))
                 out = p.apply(px.select("image_id", "y", "x", *cols), pal)
                 assert len(out.columns) == 3 + p.shape.channels, (color, asked, p.names)
+
+
+def test_backgrounds_are_brought_to_the_scale_and_space_of_the_blend():
+    from pixelloom.plans.planner import Background, resolve_background
+
+    indexed, small, wide, gray8 = Shape(4, 8, 3, 1), Shape(4, 2, 0, 1), Shape(4, 16, 2, 3), Shape(4, 8, 0, 1)
+    s = resolve_background(Background(index=1, in_file=True), {"compose", "expand"}, indexed, Settings(), [(1, 2, 3), (4, 5, 6)])
+    assert s.background == s.background_linear == (4, 5, 6)
+    s = resolve_background(Background(gray=2, in_file=True), {"compose", "expand"}, small, Settings())
+    assert s.background == (170,)
+    assert resolve_background(Background(1, 2, 3), {"compose", "expand", "scale_16"}, wide, Settings()).background == (257, 514, 771)
+    assert resolve_background(Background(gray=65535), {"compose", "expand", "expand_16"}, gray8, Settings()).background == (255,)
+    gammas = Settings(file_gamma=45_455, screen_gamma=100_000)
+    at = lambda v, e: int(255 * (v / 255) ** e + 0.5)
+    s = resolve_background(Background(gray=100, space="file"), {"compose", "expand", "gamma"}, gray8, gammas)
+    assert (s.background, s.background_linear) == ((at(100, 2.19998),), (at(100, 2.19998),))
+    s = resolve_background(Background(gray=100), {"compose", "expand", "gamma"}, gray8, Settings(file_gamma=100_000, screen_gamma=220_000))
+    assert (s.background, s.background_linear) == ((100,), (at(100, 2.2),))
+    s = resolve_background(Background(gray=100, space="own", gamma=50_000), {"compose", "expand", "gamma"}, gray8, gammas)
+    assert s.background_linear == (at(100, 2.0),)
+
+
+def test_curves_of_16_bits_follow_what_becomes_of_the_samples():
+    from pixelloom.plans.planner import _Context
+
+    wide = Shape(4, 16, 2, 3)
+    context = lambda asked, bits=0: _Context(frozenset(asked), wide, False, Settings(100_000, 220_000, sample_bits=bits))
+    assert [context({"gamma"}).coarse, context({"gamma"}, 11).coarse, context({"gamma", "scale_16"}).coarse, context({"gamma", "strip_16"}, 5).coarse] == [0, 5, 5, 8]
+
+
+def test_quantized_indices_go_where_their_map_says(spark):
+    px = spark.createDataFrame([(1, 0, x, i) for x, i in enumerate((0, 1, 2, 7))], "image_id long, y long, x long, i long")
+    out = plan({"quantize"}, Shape(4, 8, 3, 1), settings=Settings(quantize_map=(5, 0, 3))).apply(px)
+    assert [r["c0"] for r in out.orderBy("x").collect()] == [5, 0, 3, 7]
+
+
+def test_write_plans_have_one_order_and_know_what_is_supplied():
+    from pixelloom.plans.writing import plan_write
+
+    p = plan_write({"bgr", "filler", "swap_bytes", "invert_mono"}, Shape(4, 16, 2, 3))
+    assert p.steps == ("filler", "swap_bytes", "bgr") and (p.supplied.channels, p.supplied.depth) == (4, 16)
+    assert plan_write({"packing", "shift"}, Shape(4, 2, 3, 1)).supplied.depth == 8
+    with pytest.raises(ValueError):
+        plan_write({"expand"}, Shape(4, 8, 0, 1))
