@@ -5,7 +5,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 from pixelloom.llm.components import components
-from pixelloom.llm.simhash import fingerprint, fingerprint_links, keep_one_of_each, near_duplicates
+from pixelloom.llm.simhash import Tree, fingerprint, fingerprint_links, keep_one_of_each, near_duplicates
 
 
 def plain_fingerprint(text):
@@ -100,3 +100,18 @@ def test_edges_of_tables(spark):
     assert got == sorted([(1, 1), (1, 1), (None, 1), (None, None), (2, 2), (3, 2)], key=str)
     kept = keep_one_of_each(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r["text"] or "" for r in kept)) == ["", "a b c d e", "q r s t"] and kept[0].asDict().keys() == {"doc_id", "text", "lang"}
+
+
+def test_a_bit_that_half_of_the_shingles_set_is_not_set():
+    """Two shingles: bits on which they differ are set in exactly half of them."""
+    one, two = (xxh64_intdigest(g, 42) for g in (b"a b c d", b"b c d e"))
+    assert fingerprint("a b c d e") == one & two == plain_fingerprint("a b c d e")
+
+
+def test_a_tree_has_points_of_its_data_and_every_row_in_it():
+    rng = random.Random(3)
+    sample = [rng.getrandbits(64) - (1 << 63) for _ in range(500)]
+    tree = Tree(sample, 3)
+    assert [len(p) for p in tree.points] == [1, 65, 65 * 65] and tree.points[0][0] in {x & (1 << 64) - 1 for x in sample}
+    assert Tree([], 2).points[0] == [Tree([], 2).points[0][0]]
+    assert Tree(sample[::-1], 3).points == tree.points
