@@ -1,14 +1,20 @@
 """Corpus pipeline: quality rules, exact dedup, near dedup, mixing to target weights, SentencePiece encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. ``run`` writes every stage's rows to shared storage and reads them as the next one's docs.
+documents. ``run`` writes every stage's rows to shared storage, reads them as the next one's docs, and removes what only a finished stage
+needed, so that two copies of the corpus exist at most.
+
+Defined results, of all stages: a null text is empty, and so rejected by the first; a null id is an id like no other, last in order;
+rows that repeat id and text leave one row; of documents with equal texts, and of a group of near duplicates, the one with the least id
+stays (of equal ids the row with the least digest of its text); a null source is a source of its own; an empty table gives no rows; further columns, whatever
+their names, are kept as they are by every stage but the last.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm.common import materialise, table
+from pixelloom.llm.common import materialise, remove, scratch, table
 from pixelloom.llm.exact_dedup import drop_exact_copies
 from pixelloom.llm.mixing import mixed_rows
 from pixelloom.llm.pieces import default_model, encoding_digests
@@ -49,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as made:
+            docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            path = made.pop()
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -30,6 +30,8 @@ class Chunk:
     crc: int
     crc_ok: bool
     location: int = 0
+    #: Used although its checksum is wrong.
+    used: bool = False
 
     @property
     def critical(self) -> bool:
@@ -48,6 +50,8 @@ class Image:
     samples: np.ndarray | None = None
     filters: list[tuple[int, int, int]] = field(default_factory=list)
     diagnostics: list[tuple[str, str, str]] = field(default_factory=list)
+    #: General and named policies for unknown chunks, and who handles them.
+    policy: tuple = ("always", {}, None)
 
     def note(self, severity: str, message: str, chunk: str = "") -> None:
         self.diagnostics.append((severity, chunk, message))
@@ -57,6 +61,17 @@ class Image:
         return any(s == "error" for s, _, _ in self.diagnostics)
 
 
+def same_signature(content: bytes, start: int = 0, count: int = 8) -> bool:
+    """Whether ``count`` bytes of a file from ``start`` on are the signature's; nothing is equal if nothing is compared."""
+    count = min(count, 8 - start)
+    return 0 <= start <= 7 and count > 0 and content[start : start + count] == MAGIC[start : start + count]
+
+
+def expected_bytes(head: dict) -> int:
+    """Inflated bytes of a whole image: each row of each pass with its filter byte."""
+    return sum(h * ((w * head["pixel_depth"] + 7) // 8 + 1) for _, w, h in pass_sizes(head["width"], head["height"], head["interlaced"]))
+
+
 def lex(content: bytes, image: Image) -> list[Chunk]:
     """Chunks in file order, with locations 1 before the palette, 2 after it, 8 after the image data."""
     if content[:8] != MAGIC:
@@ -203,10 +218,10 @@ def scanlines(image: Image) -> list[tuple[int, np.ndarray, np.ndarray]]:
     head = image.header
     sizes = pass_sizes(head["width"], head["height"], head["interlaced"])
     spans = [(k, w, h, (w * head["pixel_depth"] + 7) // 8) for k, w, h in sizes]
-    total = sum(h * (n + 1) for _, _, h, n in spans)
+    total = expected_bytes(head)
     engine = zlib.decompressobj()
     try:
-        data = engine.decompress(b"".join(c.payload for c in image.chunks if c.name == "IDAT" and c.crc_ok), total)
+        data = engine.decompress(b"".join(c.payload for c in image.chunks if c.name == "IDAT" and (c.crc_ok or c.used)), total)
     except zlib.error as e:
         image.note("error", f"IDAT: {e}", "IDAT")
         return []
@@ -226,19 +241,41 @@ def scanlines(image: Image) -> list[tuple[int, np.ndarray, np.ndarray]]:
     return out
 
 
-def decode(content: bytes | None, pixels: bool = True, quiet_crc: bool = False) -> Image:
-    """Everything in a file. ``quiet_crc`` uses ancillary chunks whose checksum is wrong instead of dropping them."""
+#: What may be done with a chunk whose checksum is wrong: for critical ones, and for others.
+CRC_ACTIONS = {"critical": ("error", "warn_use", "quiet_use"), "ancillary": ("warn_discard", "error", "warn_use", "quiet_use")}
+#: Which unknown chunks are kept: all, none, or those that are safe to copy.
+KEEP = ("always", "never", "if_safe")
+
+
+def kept_unknown(name: str, keep: str, named: dict[str, str]) -> bool:
+    """A policy for the chunk's name goes before the general one; a chunk is safe to copy if its last letter is small."""
+    policy = named.get(name, keep)
+    return policy == "always" or policy == "if_safe" and name[3].islower()
+
+
+def decode(content: bytes | None, pixels: bool = True, quiet_crc: bool = False, critical_crc: str = "error", ancillary_crc: str = "warn_discard", keep: str = "always", keep_named: dict[str, str] | None = None, handler=None) -> Image:
+    """Everything in a file.
+
+    ``critical_crc`` and ``ancillary_crc`` are ``CRC_ACTIONS`` (``quiet_crc`` uses ancillary chunks whose checksum is wrong, with a warning).
+    ``keep`` and ``keep_named`` are policies of ``KEEP`` for unknown chunks. ``handler(name, payload)`` sees each of those first: a true answer takes the chunk,
+    None or False leaves it to the policy, an exception becomes a warning.
+    """
     image = Image()
+    if critical_crc not in CRC_ACTIONS["critical"] or ancillary_crc not in CRC_ACTIONS["ancillary"] or {keep, *(keep_named or {}).values()} - set(KEEP):
+        raise ValueError("unknown policy")
+    image.policy = keep, keep_named or {}, handler
     lex(content or b"", image)
     seen_end = image.fatal
     for c in image.chunks:
         if not c.crc_ok:
-            if c.critical:
-                image.note("error", "CRC error", c.name)
+            action = critical_crc if c.critical else "warn_use" if quiet_crc and ancillary_crc == "warn_discard" else ancillary_crc
+            if action != "quiet_use":
+                image.note("error" if action == "error" else "warning", "CRC error", c.name)
+            if action == "error":
                 break
-            image.note("warning", "CRC error", c.name)
-            if not quiet_crc:
+            if action == "warn_discard":
                 continue
+            c.used = True
         if c.seq == 0 and c.name != "IHDR":
             image.note("error", "missing IHDR", c.name)
             break
@@ -447,11 +484,21 @@ def _parse_optional(c: Chunk, image: Image) -> None:
         elif c.critical:
             image.note("error", "unhandled critical chunk", c.name)
         else:
-            image.unknown.append((c.name, c.payload, c.location))
+            keep, named, handler = image.policy
+            if not (handler and _handled(handler, c, image)) and kept_unknown(c.name, keep, named):
+                image.unknown.append((c.name, c.payload, c.location))
     except (ValueError, zlib.error, struct.error, IndexError) as e:
         image.note("error" if c.name == "PLTE" and head["color_type"] == 3 else "warning", str(e), c.name)
 
 
+def _handled(handler, c: Chunk, image: Image) -> bool:
+    try:
+        return bool(handler(c.name, c.payload))
+    except Exception as e:  # a client's own code: the file is not to blame
+        image.note("warning", f"chunk handler: {e}", c.name)
+        return False
+
+
 def chunk(name: str, payload: bytes) -> bytes:
     body = name.encode() + payload
     return struct.pack(">I", len(payload)) + body + struct.pack(">I", zlib.crc32(body))
@@ -508,13 +555,22 @@ def text_chunk(compression: int, keyword: str, text: str, language: str = "", tr
     return chunk("iTXt", head + bytes([compression - 1, 0]) + language.encode("latin-1") + b"\0" + translated.encode() + b"\0" + body)
 
 
-def encode(samples: np.ndarray, depth: int, color: int, interlaced: bool = False, palette=(), alpha=(), key=None, metadata: dict | None = None, text=(), unknown=(), filters: tuple[int, ...] | None = None, level: int = 6, idat: int = 1 << 15) -> bytes:
-    """A file of samples (height, width, channels). Sub-byte and palette images are not predicted unless asked."""
+def encode(samples: np.ndarray, depth: int, color: int, interlaced: bool = False, palette=(), alpha=(), key=None, metadata: dict | None = None, text=(), unknown=(), filters: tuple[int, ...] | None = None, level: int = 6, idat: int = 1 << 15, flush_rows: int = 0, late_text=()) -> bytes:
+    """A file of samples (height, width, channels). Sub-byte and palette images are not predicted unless asked.
+
+    ``flush_rows``: after so many rows what is there can be inflated, and ends a chunk. ``late_text`` stands behind the rows. ``unknown`` (name, data, place) has places
+    1 (before the palette), 2 (after it) and 8 (behind the rows).
+    """
     h, w, channels = samples.shape
+    if samples.min(initial=0) < 0 or samples.max(initial=0) >> depth:
+        raise ValueError("a sample does not fit its depth")
+    if color == 3 and not 1 <= len(palette) <= 1 << depth:
+        raise ValueError("invalid number of palette entries")
     meta = metadata or {}
     filters = filters if filters is not None else (0,) if depth < 8 or color == 3 else (0, 1, 2, 3, 4)
     out = [MAGIC, chunk("IHDR", struct.pack(">IIBBBBB", w, h, depth, color, 0, 0, int(interlaced)))]
     out += [chunk(n, _metadata_payload(n, meta[n], color)) for n in ("gAMA", "cHRM", "sRGB", "iCCP", "sBIT") if n in meta]
+    out += [chunk(n, d) for n, d, place in unknown if place == 1]
     if len(palette):
         out.append(chunk("PLTE", bytes(x for e in palette for x in e)))
     if len(alpha):
@@ -524,15 +580,21 @@ def encode(samples: np.ndarray, depth: int, color: int, interlaced: bool = False
     out += [chunk(n, _metadata_payload(n, meta[n], color)) for n in ("bKGD", "hIST", "pHYs", "oFFs", "sCAL", "pCAL") if n in meta]
     out += [chunk("sPLT", _metadata_payload("sPLT", v, color)) for v in meta.get("sPLT", ())]
     out += [chunk(n, _metadata_payload(n, meta[n], color)) for n in ("tIME", "eXIf") if n in meta]
-    out += [chunk(n, d) for n, d, place in unknown if place != 8]
+    out += [chunk(n, d) for n, d, place in unknown if place not in (1, 8)]
     out += [text_chunk(*t) for t in text]
-    engine, body = zlib.compressobj(level), b""
+    engine, body, since = zlib.compressobj(level), b"", 0
+    data: list[bytes] = []
     stride = max(1, channels * depth // 8)
     for k, pw, ph in pass_sizes(w, h, interlaced):
         x0, y0, dx, dy = PASSES[k][:4] if interlaced else (0, 0, 1, 1)
         kinds, rows = filter_rows(pack(samples[y0::dy, x0::dx], depth), stride, filters)
-        body += engine.compress(np.concatenate([kinds[:, None], rows], axis=1).tobytes())
-    body += engine.flush()
-    out += [chunk("IDAT", body[i : i + idat]) for i in range(0, len(body), idat)]
+        lines = np.concatenate([kinds[:, None], rows], axis=1)
+        while flush_rows and len(lines) >= flush_rows - since:
+            body += engine.compress(lines[: flush_rows - since].tobytes()) + engine.flush(zlib.Z_SYNC_FLUSH)
+            data, body, lines, since = [*data, body], b"", lines[flush_rows - since :], 0
+        body, since = body + engine.compress(lines.tobytes()), since + len(lines)
+    data.append(body + engine.flush())
+    out += [chunk("IDAT", d[i : i + idat]) for d in data for i in range(0, len(d), idat)]
+    out += [text_chunk(*t) for t in late_text]
     out += [chunk(n, d) for n, d, place in unknown if place == 8]
     return b"".join([*out, chunk("IEND", b"")])

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources import codec
+from .push import PushReader
 
 OUT = "image_id long, y int, samples array<int>, message string"
 STATE = "seqs array<int>, parts array<binary>"
@@ -57,3 +58,27 @@ def progressive_rows(slices: DataFrame, timeout_ms: int | None = None) -> DataFr
     """
     kind = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return slices.groupBy("image_id").applyInPandasWithState(lambda k, f, s: _advance(k, f, s, timeout_ms), OUT, STATE, "append", kind)
+
+
+EVENTS = "image_id long, seq int, kind string, name string, pass int, pass_row int, y int, samples array<int>, message string"
+
+
+def _events_of(key: tuple, frame: pd.DataFrame, max_rows: int | None) -> pd.DataFrame:
+    reader, found = PushReader(max_rows), []
+    frame = frame.sort_values("seq").drop_duplicates("seq")
+    for seq, data in zip(frame["seq"].tolist(), frame["bytes"]):
+        found += [(seq, e) for e in reader.feed(bytes(data))]
+        if reader.over:
+            break
+    found += [(None, e) for e in reader.finish()]
+    rows = [(key[0], seq, e.kind, e.name, e.pass_, e.pass_row, e.y, None if e.samples is None else e.samples.ravel().tolist(), e.message) for seq, e in found]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in EVENTS.split(", ")])
+
+
+def slice_events(slices: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """``EVENTS`` of (image_id long, seq int, bytes binary): headers, chunks, rows and ends of passes, each with the slice that completed it.
+
+    One task reads an image slice by slice, inflating each byte once. What only the end of the slices shows (a file that is cut) has no slice.
+    ``max_rows`` stops reading an image after so many rows.
+    """
+    return slices.groupBy("image_id").applyInPandas(lambda key, frame: _events_of(key, frame, max_rows), EVENTS)

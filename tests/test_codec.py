@@ -123,3 +123,86 @@ def test_a_header_that_claims_too_much_gives_diagnostics():
             image = codec.decode(codec.MAGIC + head + codec.chunk("IDAT", zlib.compress(b"\0" * 40)) + codec.chunk("IEND", b""))
             assert image.samples is None and ("error", "IDAT", "Not enough image data") in image.diagnostics
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+
+
+def pushed(content, step, **options):
+    from pixelloom.streaming.push import PushReader
+
+    reader, events = PushReader(**options), []
+    for at in range(0, len(content), step):
+        events += [(at // step, e) for e in reader.feed(content[at : at + step])]
+    return events + [(None, e) for e in reader.finish()]
+
+
+@pytest.mark.parametrize("color, depth, interlaced", [(0, 1, False), (0, 4, True), (2, 8, True), (2, 8, False), (3, 2, True), (6, 16, True), (4, 8, False)])
+@pytest.mark.parametrize("step", [1, 7, 5000])
+def test_pushed_rows_are_the_decoded_ones(color, depth, interlaced, step):
+    rng = np.random.default_rng(color + depth)
+    top = 4 if color == 3 else 1 << depth
+    px = rng.integers(0, top, (11, 9, codec.CHANNELS[color])).astype(np.int32)
+    pal = [(i, i, i) for i in range(4)] if color == 3 else ()
+    content = codec.encode(px, depth, color, interlaced, palette=pal, filters=(0, 1, 2, 3, 4), idat=50, flush_rows=2, late_text=[(-1, "Title", "t", "", "")])
+    events = pushed(content, step)
+    got, ends = np.full_like(px, -1), []
+    for _, e in events:
+        if e.kind == "row":
+            x0, _, dx, _ = codec.PASSES[e.pass_][:4] if interlaced else (0, 0, 1, 1)
+            got[e.y, x0::dx] = e.samples
+        elif e.kind == "pass_end":
+            ends.append(e.pass_)
+    assert (got == px).all() and ends == [k for k, _, _ in codec.pass_sizes(9, 11, interlaced)]
+    assert [e.kind for _, e in events if e.kind not in ("row", "pass_end")][0] == "header" and events[-1][1].kind == "end"
+    assert codec.decode(content).text[0][1] == "Title"
+    if step == 7:  # rows come before the last slice
+        assert min(at for at, e in events if e.kind == "row") < len(content) // step - 2
+
+
+def test_pushing_pauses_skips_stops_and_says_what_is_wrong():
+    from pixelloom.streaming.push import PushReader
+
+    px = np.arange(60).reshape(10, 6, 1).astype(np.int32)
+    content = codec.encode(px, 8, 0)
+    reader = PushReader()
+    first = reader.feed(content[:40])
+    waiting = reader.pause()
+    assert reader.feed(content[40:]) == [] and reader.pause() == waiting + len(content) - 40
+    assert [e.kind for e in first] == ["header"] and [e.kind for e in reader.resume()].count("row") == 10
+    reader = PushReader()
+    reader.skip(7)
+    assert [e.y for e in reader.feed(content) if e.kind == "row"] == [7, 8, 9]
+    assert sum(e.kind == "row" for _, e in pushed(content, 3, max_rows=4)) == 4
+    for bad, message in ((content[:-20], "Read Error"), (b"\x89PNG\n", "PNG file corrupted by ASCII conversion"), (b"GIF89a", "Not a PNG file"), (content[:60] + b"\0" + content[61:], "CRC error")):
+        found = [e for _, e in pushed(bad, 5) if e.kind == "error"]
+        assert len(found) == 1 and (found[0].message == message or found[0].message == "Not enough image data"), (found, message)
+
+
+def test_policies_for_checksums_and_unknown_chunks():
+    px = np.zeros((1, 1, 1), np.int32)
+    content = codec.encode(px, 8, 0, metadata={"gAMA": 45455}, unknown=[("prVt", b"a", 1), ("saFe"[:3] + "e", b"b", 2), ("neVR", b"c", 8)])
+    at = content.index(b"gAMA")
+    broken = content[: at + 4] + b"\1" + content[at + 5 :]
+    outcome = {a: codec.decode(broken, ancillary_crc=a) for a in codec.CRC_ACTIONS["ancillary"]}
+    assert [("gAMA" in i.metadata, i.fatal, len(i.diagnostics)) for i in outcome.values()] == [(False, False, 1), (False, True, 1), (True, False, 1), (True, False, 0)]
+    at = content.index(b"IDAT")
+    broken = content[: content.index(b"IEND") - 5] + b"\0" + content[content.index(b"IEND") - 4 :]
+    assert codec.decode(content).fatal is False and at
+    names = lambda **p: [n for n, _, _ in codec.decode(content, **p).unknown]
+    assert names() == ["prVt", "safe"[:2] + "Fe", "neVR"] and names(keep="never") == [] and names(keep="if_safe") == ["prVt", "saFe"]
+    assert names(keep="never", keep_named={"neVR": "always"}) == ["neVR"] and names(keep_named={"prVt": "never"}) == ["saFe", "neVR"]
+    seen = []
+    assert names(handler=lambda n, d: seen.append((n, d)) or n == "prVt") == ["saFe", "neVR"] and seen[0] == ("prVt", b"a")
+    image = codec.decode(content, handler=lambda n, d: 1 / 0)
+    assert len(image.unknown) == 3 and [d[0] for d in image.diagnostics] == ["warning"] * 3
+    with pytest.raises(ValueError):
+        codec.decode(content, keep="sometimes")
+
+
+def test_signatures_in_part():
+    assert codec.same_signature(codec.MAGIC) and codec.same_signature(codec.MAGIC[:3], 0, 3) and codec.same_signature(codec.MAGIC + b"x", 4, 40)
+    assert not codec.same_signature(codec.MAGIC[:3]) and not codec.same_signature(codec.MAGIC, 8, 1) and not codec.same_signature(codec.MAGIC, 0, 0)
+
+
+def test_samples_that_do_not_fit_are_refused():
+    for px, depth, color in ((np.full((1, 1, 1), 256), 8, 0), (np.full((1, 1, 1), -1), 8, 0), (np.zeros((1, 1, 1), int), 8, 3)):
+        with pytest.raises(ValueError):
+            codec.encode(px.astype(np.int32), depth, color)
