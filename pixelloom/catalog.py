@@ -477,6 +477,41 @@ def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("metadata_roundtrip", _metadata, "SELECT p_partkey, name, CASE name WHEN 'gAMA' THEN CAST(p_partkey + 1 AS VARCHAR) WHEN 'sRGB' THEN CAST(p_partkey % 4 AS VARCHAR) WHEN 'pHYs' THEN '[' || p_size || ', ' || p_partkey % 100 || ', 1]' WHEN 'oFFs' THEN '[' || -p_size || ', ' || p_partkey || ', 0]' ELSE '[' || 2000 + p_size || ', ' || p_partkey % 12 + 1 || ', ' || p_partkey % 28 + 1 || ', ' || p_partkey % 24 || ', ' || p_partkey % 60 || ', ' || p_size || ']' END AS value FROM part, (SELECT unnest(['gAMA', 'sRGB', 'pHYs', 'oFFs', 'tIME']) AS name)")
 
 
+def _more_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other kinds of metadata, with values of each part."""
+    import numpy as np
+    import pyarrow as pa
+
+    from .sources import codec
+    from .sources.images import relation
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_size").cast("long").alias("s"), "p_brand")
+    one = np.zeros((1, 1, 4), np.int32)
+
+    def write(batches):
+        for batch in batches:
+            made = []
+            for n, s, brand in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                made.append(codec.encode(one, 8, 6, metadata={
+                    "cHRM": [n + i for i in range(8)], "cICP": [n % 256, s, 0, 1], "cLLI": [n, s], "mDCV": [*range(s, s + 8), n, s], "sBIT": {"red": n % 8 + 1, "green": 2, "blue": 3, "alpha": 4},
+                    "bKGD": {"red": s, "green": 0, "blue": n % 256}, "sCAL": {"unit": 1, "width": f"{s}.5", "height": str(n)}, "eXIf": bytes([s, n % 256]), "pCAL": {"purpose": brand, "x0": -s, "x1": n, "equation": 0, "unit": "m", "parameters": [str(s), "2"]},
+                    "iCCP": {"name": brand, "profile": bytes(128) + b"\0\0\0\2" + bytes([s])}, "sPLT": [{"name": brand, "depth": 8, "entries": [[s, 1, 2, 3, 4]]}]}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["image_id", "content"])
+
+    back = relation(part.mapInArrow(write, "image_id long, content binary"), "metadata")
+    return back.select(F.col("image_id").cast("long").alias("p_partkey"), "name", "value")
+
+
+_MORE = {
+    "cHRM": "'[' || concat_ws(', ', n, n + 1, n + 2, n + 3, n + 4, n + 5, n + 6, n + 7) || ']'", "cICP": "'[' || concat_ws(', ', n % 256, s, 0, 1) || ']'", "cLLI": "'[' || concat_ws(', ', n, s) || ']'",
+    "mDCV": "'[' || concat_ws(', ', s, s + 1, s + 2, s + 3, s + 4, s + 5, s + 6, s + 7, n, s) || ']'", "sBIT": """'{"red": ' || n % 8 + 1 || ', "green": 2, "blue": 3, "gray": 0, "alpha": 4}'""",
+    "bKGD": """'{"index": 0, "red": ' || s || ', "green": 0, "blue": ' || n % 256 || ', "gray": 0}'""", "sCAL": """'{"unit": 1, "width": "' || s || '.5", "height": "' || n || '"}'""",
+    "eXIf": """'"' || lower(lpad(to_hex(s), 2, '0')) || lower(lpad(to_hex(n % 256), 2, '0')) || '"'""", "pCAL": """'{"purpose": "' || p_brand || '", "x0": ' || -s || ', "x1": ' || n || ', "equation": 0, "unit": "m", "parameters": ["' || s || '", "2"]}'""",
+    "iCCP": """'{"name": "' || p_brand || '", "profile": "' || repeat('00', 128) || '00000002' || lower(lpad(to_hex(s), 2, '0')) || '"}'""", "sPLT": """'[{"name": "' || p_brand || '", "depth": 8, "entries": [[' || s || ', 1, 2, 3, 4]]}]'""",
+}
+_register("metadata_more", _more_metadata, f"WITH p AS (SELECT p_partkey, p_partkey AS n, CAST(p_size AS BIGINT) AS s, p_brand FROM part) SELECT p_partkey, name, CASE name {' '.join(f'WHEN {k!r} THEN {v}' for k, v in _MORE.items())} END AS value FROM p, (SELECT unnest({list(_MORE)}) AS name)")
+
+
 def _read_as(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of grey, RGB and RGBA images read as one format, each kind by its own plan."""
     import uuid
@@ -653,6 +688,26 @@ def _progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("progressive_rows", _progressive, f"{PX} SELECT image_id, y, x, v FROM px")
 
 
+def _pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of interlaced files, pushed in slices of 100 bytes."""
+    from .streaming.progressive import slice_events
+
+    cut = F.sequence(F.lit(0), F.floor((F.length("content") - 1) / 100).cast("int"))
+    slices = _encoded(spark, sf_dir, "v", interlaced=True).select("image_id", "content", F.explode(cut).alias("seq"))
+    return slice_events(slices.select("image_id", F.col("seq").cast("int").alias("seq"), F.expr("substring(content, seq * 100 + 1, 100)").alias("bytes")))
+
+
+def _pushed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pushed(spark, sf_dir).filter("kind = 'row'").select("image_id", F.col("pass").cast("long").alias("pass"), F.col("pass_row").cast("long").alias("pass_y"), F.posexplode("samples").alias("pass_x", "v"))
+    out = geometry.deinterlace(rows.withColumn("pass_x", F.col("pass_x").cast("long")))
+    return out.select("image_id", "pass", "y", "x", F.col("v").cast("long").alias("v"))
+
+
+_register("push_rows", _pushed_rows, f"{PX} SELECT image_id, CAST({_PASS_SQL} AS BIGINT) AS pass, y, x, v FROM px")
+_register("push_passes", lambda spark, d: _pushed(spark, d).filter("kind in ('pass_end', 'end', 'header')").groupBy("image_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("pass_row").cast("long").alias("rows")),
+          "SELECT CAST(vec_id AS BIGINT) AS image_id, kind, n, rows FROM embeddings, (VALUES ('header', 1::BIGINT, 0::BIGINT), ('pass_end', 7, 15), ('end', 1, 0)) AS e(kind, n, rows)")
+
+
 # --- files of many kinds, read as one format ------------------------------------------------------------------------
 
 

@@ -132,8 +132,8 @@ def pass_sizes(width: int, height: int, interlaced: bool) -> list[tuple[int, int
     return [p for p in all_ if p[1] and p[2]]
 
 
-def _unfilter_loop(kinds: np.ndarray, rows: np.ndarray, stride: int) -> np.ndarray:
-    out, above = np.zeros_like(rows), [0] * rows.shape[1]
+def _unfilter_loop(kinds: np.ndarray, rows: np.ndarray, stride: int, above: np.ndarray | None = None) -> np.ndarray:
+    out, above = np.zeros_like(rows), [0] * rows.shape[1] if above is None else above.tolist()
     for y, kind in enumerate(kinds.tolist()):
         line = rows[y].tolist()
         for i, v in enumerate(line):
@@ -154,41 +154,66 @@ def _predict(kind: int, a: int, b: int, c: int) -> int:
 def unfilter(kinds: np.ndarray, rows: np.ndarray, stride: int) -> np.ndarray:
     """Undo prediction; the row above the first is zero.
 
-    Rows whose filters look only up or left run by whole rows; otherwise a wave front runs over the diagonals, where all
-    pixels depend on finished ones only.
+    Runs of rows of one kind are undone together: looking left or up is a running sum over the run. Where both matter, a few rows are undone byte
+    by byte, and many by a wave front over the diagonals, on which all pixels depend on finished ones only.
     """
     height, width = rows.shape
     if height * width <= 4096:
         return _unfilter_loop(kinds, rows, stride)
-    if not (kinds > 2).any():
-        out, above = np.zeros_like(rows), np.zeros(width, np.uint8)
-        for y, kind in enumerate(kinds.tolist()):
-            line = rows[y]
-            if kind == 1:
-                padded = np.zeros(-(-width // stride) * stride, np.uint8)
-                padded[:width] = line
-                line = np.cumsum(padded.reshape(-1, stride), axis=0, dtype=np.uint8).ravel()[:width]
-            elif kind == 2:
-                line = line + above
-            out[y] = above = line
-        return out
     n = -(-width // stride)
-    source = np.zeros((height, n * stride), np.int16)
-    source[:, :width] = rows
-    source = source.reshape(height, n, stride)
+    out = np.zeros((height, n * stride), np.uint8)
+    out[:, :width] = rows
+    edges = [0, *(np.flatnonzero(np.diff(np.minimum(kinds, 3))) + 1).tolist(), height]
+    runs = [(a, b, int(min(kinds[a], 3))) for a, b in zip(edges, edges[1:])]
+    both = [(a, b) for a, b, kind in runs if kind == 3]
+    step = lambda a, b: min((b - a) * width, WAVE_COST * (b - a + n))
+    if both and sum(step(a, b) for a, b in both) > step(both[0][0], both[-1][1]):  # one wave over all that lies between
+        first, last = both[0][0], both[-1][1]
+        runs = [r for r in runs if r[1] <= first] + [(first, last, 3)] + [r for r in runs if r[0] >= last]
+    above = np.zeros(n * stride, np.uint8)
+    for low, high, kind in runs:
+        part = out[low:high]
+        if kind == 1:
+            pixels = part.reshape(len(part), n, stride)
+            np.cumsum(pixels, axis=1, dtype=np.uint8, out=pixels)
+        elif kind == 2:
+            part[0] += above
+            np.cumsum(part, axis=0, dtype=np.uint8, out=part)
+        elif kind == 3 and len(part) * width <= WAVE_COST * (len(part) + n):
+            part[:] = _unfilter_loop(kinds[low:high], part, stride, above)
+        elif kind == 3:
+            part[:] = _wave(kinds[low:high], part.reshape(len(part), n, stride), above.reshape(n, stride)).reshape(part.shape)
+        above = out[high - 1]
+    return out[:, :width]
+
+
+#: A diagonal of the wave front costs about as much as so many bytes one by one.
+WAVE_COST = 100
+
+
+def _wave(kinds: np.ndarray, source: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Rows of any predictions below the row ``above``."""
+    height, n, stride = source.shape
     out = np.zeros((height + 1, n + 1, stride), np.int16)
-    kind = kinds.astype(np.int64)[:, None]
+    out[0, 1:] = above
+    source, present = source.astype(np.int16), set(kinds.tolist())
     for t in range(height + n - 1):
         y = np.arange(max(0, t - n + 1), min(height - 1, t) + 1)
         x = t - y
-        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
-        p = a + b - c
-        pa, pb, pc = np.abs(p - a), np.abs(p - b), np.abs(p - c)
-        paeth = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
-        k = kind[y]
-        guess = np.select([k == 1, k == 2, k == 3, k == 4], [a, b, (a + b) >> 1, paeth], 0)
+        a, b = out[y + 1, x], out[y, x + 1]
+        guesses = {0: 0, 1: a, 2: b, 3: (a + b) >> 1 if 3 in present else 0}
+        if 4 in present:
+            c = out[y, x]
+            da, db = b - c, a - c  # how far the estimate a + b - c is from a and from b
+            pa, pb, pc = np.abs(da), np.abs(db), np.abs(da + db)
+            guesses[4] = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+        if len(present) == 1:
+            guess = guesses[next(iter(present))]
+        else:
+            k = kinds[y][:, None]
+            guess = np.select([k == p for p in present], [guesses[p] for p in present], 0)
         out[y + 1, x + 1] = (source[y, x] + guess) & 255
-    return out[1:, 1:].reshape(height, n * stride)[:, :width].astype(np.uint8)
+    return out[1:, 1:].astype(np.uint8)
 
 
 def unpack(rows: np.ndarray, width: int, channels: int, depth: int) -> np.ndarray:
@@ -206,7 +231,7 @@ def pack(samples: np.ndarray, depth: int) -> np.ndarray:
     """Samples (height, width, channels) to bytes of rows; unused bits are zero."""
     h, w, c = samples.shape
     if depth == 16:
-        return np.stack([samples >> 8, samples & 255], axis=3).reshape(h, w * c * 2).astype(np.uint8)
+        return np.ascontiguousarray(samples.astype(">u2")).view(np.uint8).reshape(h, w * c * 2)
     if depth < 8:
         bits = (samples >> np.arange(depth)[::-1]) & 1
         return np.packbits(bits.reshape(h, w * depth).astype(np.uint8), axis=1)
@@ -506,23 +531,32 @@ def chunk(name: str, payload: bytes) -> bytes:
 
 def filter_rows(rows: np.ndarray, stride: int, allowed: tuple[int, ...] = (0, 1, 2, 3, 4)) -> tuple[np.ndarray, np.ndarray]:
     """Filter kind of each row, the cheapest of ``allowed`` (the first on ties), and the filtered rows."""
-    left, above = np.zeros_like(rows), np.zeros_like(rows)
-    left[:, stride:], above[1:] = rows[:, :-stride] if rows.shape[1] > stride else 0, rows[:-1]
-    corner = np.zeros_like(rows)
-    corner[1:, stride:] = rows[:-1, :-stride] if rows.shape[1] > stride else 0
-    a, b, c = left.astype(np.int16), above.astype(np.int16), corner.astype(np.int16)
-    p = a + b - c
-    pa, pb, pc = np.abs(p - a), np.abs(p - b), np.abs(p - c)
-    guess = {0: 0 * a, 1: a, 2: b, 3: (a + b) >> 1, 4: np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))}
-    done = np.stack([(rows - guess[k]).astype(np.uint8) for k in allowed])
-    cost = np.minimum(done, 256 - done.astype(np.int32)).sum(axis=2)
+    left, above, corner = np.zeros_like(rows), np.zeros_like(rows), np.zeros_like(rows)
+    left[:, stride:], above[1:], corner[1:, stride:] = rows[:, :-stride], rows[:-1], rows[:-1, :-stride]
+
+    def guess(kind: int) -> np.ndarray:
+        if kind < 3:
+            return (np.uint8(0), left, above)[kind]
+        a, b = left.astype(np.int16), above.astype(np.int16)
+        if kind == 3:
+            return ((a + b) >> 1).astype(np.uint8)
+        da, db = b - corner, a - corner
+        pa, pb, pc = np.abs(da), np.abs(db), np.abs(da + db)
+        return np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, above, corner))
+
+    done = [rows - guess(k) for k in allowed]
+    # a byte's distance from zero either way round; -128 stays 128 as an unsigned byte
+    cost = np.stack([np.abs(d.view(np.int8)).view(np.uint8).sum(axis=1, dtype=np.int64) for d in done])
     best = cost.argmin(axis=0)
-    return np.array(allowed, np.uint8)[best], done[best, np.arange(len(rows))]
+    out = done[0]
+    for k in range(1, len(allowed)):
+        out = np.where((best == k)[:, None], done[k], out) if (best == k).any() else out
+    return np.array(allowed, np.uint8)[best], out
 
 
 def _metadata_payload(name: str, v, color: int) -> bytes:
     forms = {"gAMA": ">i", "sRGB": ">B"}
-    lists = {"cHRM": ">8i", "pHYs": ">IIB", "oFFs": ">iiB", "tIME": ">HBBBBB"}
+    lists = {"cHRM": ">8i", "pHYs": ">IIB", "oFFs": ">iiB", "tIME": ">HBBBBB", "cICP": ">4B", "cLLI": ">II", "mDCV": ">8HII"}
     if name in forms:
         return struct.pack(forms[name], v)
     if name in lists:
@@ -569,7 +603,7 @@ def encode(samples: np.ndarray, depth: int, color: int, interlaced: bool = False
     meta = metadata or {}
     filters = filters if filters is not None else (0,) if depth < 8 or color == 3 else (0, 1, 2, 3, 4)
     out = [MAGIC, chunk("IHDR", struct.pack(">IIBBBBB", w, h, depth, color, 0, 0, int(interlaced)))]
-    out += [chunk(n, _metadata_payload(n, meta[n], color)) for n in ("gAMA", "cHRM", "sRGB", "iCCP", "sBIT") if n in meta]
+    out += [chunk(n, _metadata_payload(n, meta[n], color)) for n in ("cICP", "mDCV", "cLLI", "gAMA", "cHRM", "sRGB", "iCCP", "sBIT") if n in meta]
     out += [chunk(n, d) for n, d, place in unknown if place == 1]
     if len(palette):
         out.append(chunk("PLTE", bytes(x for e in palette for x in e)))

@@ -206,3 +206,30 @@ def test_samples_that_do_not_fit_are_refused():
     for px, depth, color in ((np.full((1, 1, 1), 256), 8, 0), (np.full((1, 1, 1), -1), 8, 0), (np.zeros((1, 1, 1), int), 8, 3)):
         with pytest.raises(ValueError):
             codec.encode(px.astype(np.int32), depth, color)
+
+
+def test_runs_of_rows_are_undone_as_one_by_one():
+    rng = np.random.default_rng(5)
+    for stride, width, height in ((1, 301, 40), (3, 300, 37), (4, 402, 30), (6, 600, 20)):
+        for kinds in (np.full(height, 4), np.full(height, 3), np.full(height, 1), rng.integers(0, 5, height), np.sort(rng.integers(0, 5, height)), rng.integers(3, 5, height)):
+            rows = rng.integers(0, 256, (height, width)).astype(np.uint8)
+            want = codec._unfilter_loop(kinds.astype(np.uint8), rows, stride)
+            assert (codec.unfilter(kinds.astype(np.uint8), rows, stride) == want).all(), (stride, kinds)
+            made, coded = codec.filter_rows(want, stride)
+            assert (codec.unfilter(made, coded, stride) == want).all()
+
+
+def test_the_cheapest_filter_is_the_first_of_the_least_sums():
+    rng = np.random.default_rng(6)
+    rows = rng.integers(0, 256, (12, 15)).astype(np.uint8)
+    kinds, _ = codec.filter_rows(rows, 3)
+    for y in range(12):
+        sums = []
+        for kind in range(5):
+            total = 0
+            for i in range(15):
+                a, b, c = (int(rows[y, i - 3]) if i >= 3 else 0), (int(rows[y - 1, i]) if y else 0), (int(rows[y - 1, i - 3]) if y and i >= 3 else 0)
+                d = (int(rows[y, i]) - codec._predict(kind, a, b, c)) % 256
+                total += min(d, 256 - d)
+            sums.append(total)
+        assert kinds[y] == sums.index(min(sums))
