@@ -595,7 +595,9 @@ _part("fixed_to_text", {"text": lambda: md.fixed_to_text(F.floor(F.col("p_retail
 ORACLE_SQL["fixed_to_text"] = ORACLE_SQL["fixed_to_text"].replace("FROM part", "FROM (SELECT *, CAST(floor(p_retailprice * 1000) AS BIGINT) - 1000000 AS v, CAST(p_size AS BIGINT) * 2500 AS s FROM part)")
 _NUMBERS = ("1", "+2.5", "-3", ".5", "5.", ".", "", "1e5", "1E-3", "1e", "2.5.1", "0x1", " 1", "1 ", "+", "+.e1", "9.99e+12")
 _register("number_grammar", lambda spark, d: spark.createDataFrame([(n,) for n in _NUMBERS], "text string").select("text", md.is_number(F.col("text")).alias("good")), f"SELECT text, regexp_full_match(text, '\\+?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?') AS good FROM (SELECT unnest({list(_NUMBERS)}) AS text)")
-_part("big_endian", {"u32": lambda: md.uint(md.uint_bytes(F.col("p_partkey") * 7919, 4), 0, 4), "u16": lambda: md.uint(md.uint_bytes(F.col("p_partkey") % 65536, 2), 0, 2), "signed": lambda: md.int32(md.uint_bytes(F.col("p_partkey") * 1_000_003 % (1 << 32), 4), 0)}, "p_partkey * 7919 AS u32, p_partkey % 65536 AS u16, CASE WHEN p_partkey * 1000003 % 4294967296 > 2147483648 THEN p_partkey * 1000003 % 4294967296 - 4294967296 ELSE p_partkey * 1000003 % 4294967296 END AS signed")
+# A value beyond 32 bits takes two words.
+_words = lambda b: md.uint(b, 0, 4) * (1 << 32) + md.uint(b, 4, 4)
+_part("big_endian", {"u32": lambda: _words(md.uint_bytes(F.col("p_partkey") * 7919, 8)), "u16": lambda: md.uint(md.uint_bytes(F.col("p_partkey") % 65536, 2), 0, 2), "signed": lambda: md.int32(md.uint_bytes(F.col("p_partkey") * 1_000_003 % (1 << 32), 4), 0)}, "p_partkey * 7919 AS u32, p_partkey % 65536 AS u16, CASE WHEN p_partkey * 1000003 % 4294967296 > 2147483648 THEN p_partkey * 1000003 % 4294967296 - 4294967296 ELSE p_partkey * 1000003 % 4294967296 END AS signed")
 _XY = {"wx": 0.3127, "wy": 0.329, "rx": 0.64, "ry": 0.33, "gx": 0.3, "gy": 0.6, "bx": 0.15, "by": 0.06}
 
 

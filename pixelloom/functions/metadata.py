@@ -152,5 +152,5 @@ def int32(payload: Column, start: int) -> Column:
 
 
 def uint_bytes(v: Column, n: int) -> Column:
-    """Big-endian bytes of an unsigned integer."""
-    return F.unhex(F.lpad(F.hex(v), 2 * n, "0"))
+    """The low ``n`` big-endian bytes of an integer (8 hold any); one below zero is taken by its bits."""
+    return F.unhex(F.substring(F.lpad(F.hex(v), 16, "0"), 17 - 2 * n, 2 * n))

@@ -5,10 +5,12 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from compare import TABLES
 from compare import rows as canonical
 from pixelloom import catalog, fixtures
+from pixelloom.functions import metadata as md
 from pixelloom.operators import palettes
 
 DATA = "/root/testdata/sf0.001"
@@ -105,3 +107,13 @@ def test_a_rarest_entry_sinks_in_each_pass():
             if weight[want[k]] < weight[want[k + 1]]:
                 want[k], want[k + 1] = want[k + 1], want[k]
         assert palettes._sunk(order, weight) == want
+
+
+def test_numbers_beyond_four_bytes_keep_their_value(spark, con, tmp_path):
+    """Part keys of a table 60 times sf0.1 times 7919 pass 32 bits; fewer bytes than a number needs hold its low ones."""
+    con.execute(f"COPY (SELECT p_partkey * 600_000 AS p_partkey FROM part) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    got = catalog.QUERIES["big_endian"](spark, str(tmp_path)).toPandas()
+    want = con.execute(catalog.ORACLE_SQL["big_endian"].replace("FROM part", f"FROM '{tmp_path}/part.parquet'")).df()
+    assert canonical(got) == canonical(want) and got.u32.max() > 1 << 32
+    values = spark.createDataFrame([(0x1_2345_6789,), (-2,), (7,)], "v long")
+    assert [[bytes(b) for b in r] for r in values.select(md.uint_bytes(F.col("v"), 4), md.uint_bytes(F.col("v"), 2)).collect()] == [[b"\x23\x45\x67\x89", b"\x67\x89"], [b"\xff\xff\xff\xfe", b"\xff\xfe"], [b"\0\0\0\7", b"\0\7"]]
