@@ -129,7 +129,8 @@ def read_indexed(files: DataFrame, want: str, background: tuple[int, int, int] |
     if not indices:
         empty = images.pixels(files).select("image_id", "y", "x", F.col("c0").cast("long").alias("idx"))
         return empty, empty.select("image_id", "idx", F.col("idx").alias("c0"))
-    return reduce(DataFrame.unionByName, indices), reduce(DataFrame.unionByName, entries)
+    # entries are numbered out of one row an image, which Spark's estimate of their size leaves out: never broadcast them by it
+    return reduce(DataFrame.unionByName, indices), reduce(DataFrame.unionByName, entries).hint("merge")
 
 
 def write_as(px: DataFrame, width: int | None, columns: list[str], linear: bool = False, alpha_first: bool = False, reversed_: bool = False, **options) -> DataFrame:

@@ -8,7 +8,7 @@ last channel of an entry whatever the format says of its place, as it is for the
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,15 +132,15 @@ def reduced_gray(src: Source) -> Made:
     to_light = curves.srgb_to_linear(F.lit(shade)).cast("long")
     in_file = F.when(c.linear, to_light).otherwise(bent_16(to_light, src.gamma))
     at = F.floor((in_file * 255 + 32767) / 65535).cast("long")
-    known = src.heads.select("image_id", c.srgb.alias("_shown"), at.alias("_at"))
-    px = src.px.join(known, "image_id")
+    known = src.heads.withColumn("_shown", c.srgb).withColumn("_at", at)
+    px = src.px.join(known.select("image_id", "_shown", "_at"), "image_id")
     as_shown = src.rows(asked, px.filter("_shown"), (shade,) * 3)
     as_filed = src.rows({"expand_transparency", "rgb_to_gray"}, px.filter("not _shown"), (F.col("_at"),) * 3, corrects=False)
     i, at = F.col("idx"), F.col("_at")
     named, level = (to_light, c.light(i)) if fmt.linear else (F.lit(shade), c.shown(i))
     plain = curves.srgb_to_linear(i) if fmt.linear else i
     shown = F.when(F.col("_shown"), plain).when(i == at, named).otherwise(level)
-    entries = src.entries(256).join(known, "image_id").select("image_id", "idx", *_entry(fmt, shown, shown, shown, F.lit(65535 if fmt.linear else 255)))
+    entries = replace(src, heads=known).entries(256).select("image_id", "idx", *_entry(fmt, shown, shown, shown, F.lit(65535 if fmt.linear else 255)))
     return _indices(as_shown.unionByName(as_filed), F.col("c0")), entries
 
 

@@ -117,3 +117,17 @@ def test_numbers_beyond_four_bytes_keep_their_value(spark, con, tmp_path):
     assert canonical(got) == canonical(want) and got.u32.max() > 1 << 32
     values = spark.createDataFrame([(0x1_2345_6789,), (-2,), (7,)], "v long")
     assert [[bytes(b) for b in r] for r in values.select(md.uint_bytes(F.col("v"), 4), md.uint_bytes(F.col("v"), 2)).collect()] == [[b"\x23\x45\x67\x89", b"\x67\x89"], [b"\xff\xff\xff\xfe", b"\xff\xfe"], [b"\0\0\0\7", b"\0\7"]]
+
+
+@pytest.mark.parametrize("name", ["colormap_gray_alpha_composed", "colormap_rgba_to_gray", "colormap_palette", "colormap_rgba"])
+def test_no_map_or_pixels_of_all_images_are_broadcast(spark, name):
+    """Up to 256 entries an image are numbered out of one row, and Spark's estimate is that row's: broadcast, they filled the driver."""
+
+    def walk(p, broadcast=False):
+        broadcast |= p.nodeName().startswith("BroadcastExchange")
+        assert not (broadcast and p.nodeName().startswith("Generate")), p.toString()
+        for i in range(p.children().size()):
+            walk(p.children().apply(i), broadcast)
+
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan()
+    walk(plan.initialPlan() if plan.nodeName().startswith("AdaptiveSparkPlan") else plan)
